@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, shards
+from . import mixing, shards, urls
 
-QUERIES = {"op1_mixing": mixing.query, "op8_shards": shards.query}
+QUERIES = {"op1_mixing": mixing.query, "op3_urls": urls.query, "op8_shards": shards.query}
 ORACLES = {"op8_shards": shards.ORACLE}
