@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, shards, urls
+from . import decontaminate, mixing, shards, urls
 
-QUERIES = {"op1_mixing": mixing.query, "op3_urls": urls.query, "op8_shards": shards.query}
-ORACLES = {"op8_shards": shards.ORACLE}
+QUERIES = {"op1_mixing": mixing.query, "op3_urls": urls.query, "op8_shards": shards.query, "op9_decontaminate": decontaminate.query}
+ORACLES = {"op8_shards": shards.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
