@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, shards, urls
+from . import decontaminate, mixing, near, shards, urls
 
-QUERIES = {"op1_mixing": mixing.query, "op3_urls": urls.query, "op8_shards": shards.query, "op9_decontaminate": decontaminate.query}
+QUERIES = {"op1_mixing": mixing.query, "op2_near": near.query, "op3_urls": urls.query, "op8_shards": shards.query, "op9_decontaminate": decontaminate.query}
 ORACLES = {"op8_shards": shards.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
