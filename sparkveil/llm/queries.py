@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, near, shards, urls
+from . import decontaminate, langid, media, mixing, near, shards, urls
 
-QUERIES = {"op1_mixing": mixing.query, "op2_near": near.query, "op3_urls": urls.query, "op6_language": langid.query, "op8_shards": shards.query, "op9_decontaminate": decontaminate.query}
+QUERIES = {"op1_mixing": mixing.query, "op2_near": near.query, "op3_urls": urls.query, "op6_language": langid.query, "op8_shards": shards.query, "op9_decontaminate": decontaminate.query, "op10_media": media.query}
 ORACLES = {"op8_shards": shards.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
