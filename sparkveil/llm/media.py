@@ -140,8 +140,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [x["d"].as_py() for x in chunks]
             media = container(n.as_py(), [(d, got[k] if c is None else c) for k, (d, c) in enumerate(zip(names, (p.as_py() for p in parts), strict=True))])
             _, data = opened(media)
-            rows.append((key.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature(data, len(names))))
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((key.as_py(), len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).digest(), feature(data, len(names))))
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
@@ -172,7 +172,7 @@ def read_back(media: DataFrame, refs: DataFrame, loans: DataFrame, scratch: Scra
     lent = media.join(lenders, "key").select(F.explode(F.arrays_zip(F.expr("transform(ks, k -> chunks[k].d)").alias("d"), F.expr("transform(ks, k -> parts[k])").alias("c"))).alias("x")).select("x.d", "x.c")
     fetched = refs.join(lent, "d").groupBy("key").agg(F.collect_list(F.struct("k", "c")).alias("lent"))  # of one payload's chunks
     empty = F.lit(None).cast("array<struct<k:int,c:binary>>")
-    out = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out = "key binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
     whole = media.where("NOT owes").select("key", "n_bytes", "chunks", "parts", empty.alias("lent")).mapInArrow(_read, out)
     joined = media.where("owes").join(fetched, "key").select("key", "n_bytes", "chunks", "parts", "lent").mapInArrow(_read, out)
     return whole.union(joined)
@@ -186,4 +186,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "media")
     made, media, refs, loans = store(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch)
     back = scratch.table(read_back(media, refs, loans, scratch).dropDuplicates(["key"]), "back")
-    return made.select("doc_id", "n_bytes", "key").join(bounded(back, 320), "key").select("doc_id", "n_bytes", *[c for c in back.columns if c != "key"])
+    # nearly as many payloads as documents: never a side to broadcast
+    out = made.select("doc_id", "n_bytes", "key").join(back.hint("merge"), "key")
+    sha = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256"), "tail_crc32", "media_bytes", sha("media_sha256"), "feature")
