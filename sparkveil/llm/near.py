@@ -3,7 +3,7 @@
 Equal texts are one node. A node's five-word shingles are labelled with their occurrence; for each of BANDS hash orders, the
 ORDERED labelled shingles of least hash are taken in the order of the text, and their sequence is a band key. Nodes with a common key
 are candidates: those of a key are compared with one of them, its centre, and those that the centre is not similar to
-choose another centre among them, until none is left, so that no key needs all its pairs and no candidate is dropped. A
+choose other centres among them, until none is left, so that no key needs all its pairs and no node is dropped. A
 pair is verified by a banded alignment of the two shingle sequences; the classes are the connected components of the verified pairs.
 """
 
@@ -21,6 +21,10 @@ from .words import PLAIN, Words, mix, pieces
 
 #: A pair at the threshold has the same ORDERED minima in a band with probability 0.8^6 = 0.26, and in none of 40 bands with (1 - 0.26)^40 = 5e-6.
 SHINGLE, SIMILARITY, BANDS, ORDERED = 5, 0.8, 40, 6
+#: Bands that a candidate pair agrees in: at the threshold fewer have probability 8e-5. A node that agrees with a centre in STRONG needs no other. Hashes that centres are chosen by.
+AGREE, STRONG, ORDERS = 2, 6, 4
+#: Keys with at most so many nodes left are settled in one task's memory, SHARD_ROWS such nodes a task; larger ones go another round.
+IN_MEMORY, SHARD_ROWS = 2000, 20_000
 _seeds = np.random.default_rng(11).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 _ORDER = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, ORDERED + 1)], dtype=np.uint64)
 
@@ -135,6 +139,46 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _centres_in_memory(table: pa.Table) -> pa.Table:
+    """Candidates within keys of few nodes. The centre is the node that agrees with most others in STRONG bands; it is a pair with each node that it agrees with in
+    AGREE, and leaves with those that it agrees with in STRONG; the rest go on until no two of them agree. So a group of copies is
+    a star about its original, and nodes that merely share a passage are told apart without a pair."""
+    key, node, n = table.column("key").to_numpy(), table.column("node").to_pylist(), table.column("n").to_numpy()
+    marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    order = np.argsort(key, kind="stable")
+    found: set[tuple[bytes, bytes]] = set()
+    for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else ():
+        m, size = marks[group], n[group]
+        agree = np.zeros((len(group), len(group)), dtype=np.uint8)
+        for band in m.T:
+            agree += band[:, None] == band[None, :]
+        agree[np.minimum(size[:, None], size[None, :]) < SIMILARITY * np.maximum(size[:, None], size[None, :])] = 0
+        np.fill_diagonal(agree, 0)
+        agree[agree < AGREE] = 0
+        strong = agree >= STRONG
+        weight = strong.sum(axis=1).astype(np.int64) * (len(group) * BANDS + 1) + agree.sum(axis=1, dtype=np.int64)
+        while len(group) and (c := int(weight.argmax())) >= 0 and weight[c] > 0:
+            for j in np.flatnonzero(agree[c]).tolist():
+                x, y = node[group[c]], node[group[j]]
+                found.add((x, y) if x < y else (y, x))
+            gone = np.append(np.flatnonzero(strong[c]), c)
+            weight -= strong[:, gone].sum(axis=1) * (len(group) * BANDS + 1) + agree[:, gone].sum(axis=1, dtype=np.int64)
+            agree[gone] = agree[:, gone] = 0
+            strong[gone] = strong[:, gone] = False
+            weight[gone] = 0
+    return pa.table({"node": pa.array([f[0] for f in found], pa.binary()), "centre": pa.array([f[1] for f in found], pa.binary())})
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """edges with the pairs that it does not have yet, aligned."""
+    pairs = pairs.select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct()
+    new = scratch.table(pairs.join(edges.select("node", "centre"), ["node", "centre"], "left_anti"), "candidates")
+    both = edges.select("node", "centre", "ok").union(edges.select("centre", "node", "ok")).distinct()
+    got = new.join(texts, "node").join(texts.select(F.col("node").alias("centre"), F.col("x").alias("y")), "centre").select("node", "centre", "x", "y")
+    done = scratch.table(got.mapInArrow(_verify, "node binary, centre binary, ok boolean"), "aligned")
+    return scratch.table(both.union(done).union(done.select("centre", "node", "ok")).distinct(), "edges")
+
+
 def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (node, centre): each round gives a node the least root among its neighbours' and its own, and then that root's root, until nothing changes."""
     both = scratch.table(edges.select("node", F.col("centre").alias("other")).union(edges.select(F.col("centre").alias("node"), F.col("node").alias("other"))).distinct(), "both")
@@ -164,34 +208,34 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     ids = scratch.table(made.select("doc_id", "node"), "ids")
     scratch.drop(made)
 
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"), F.expr("transform(bands, x -> cast(x & 32767 AS smallint))").alias("marks"))
+    shared = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     shared = bounded(scratch.table(shared, "shared"), 16)
     open_ = scratch.table(keyed.join(shared, "key"), "open")
-    texts = None
-    edges = None
-    while open_.limit(1).count():
-        centres = scratch.table(open_.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m")), "centres")
-        pairs = scratch.table(open_.join(bounded(centres, 48), "key").where("node != centre"), "pairs")
-        # lengths alone rule out the others
-        cand = pairs.where(f"least(n, m) >= {SIMILARITY} * greatest(n, m)").select("node", "centre").distinct()
-        cand = scratch.table(cand if edges is None else cand.join(edges.select("node", "centre"), ["node", "centre"], "left_anti"), "candidates")
-        if texts is None:  # of every node that shares a key with another
-            wanted = bounded(scratch.table(open_.select("node").distinct(), "wanted"), 40)
-            held = rows.where("text IS NOT NULL").select("node", "text").join(wanted, "node", "left_semi")
-            texts = scratch.table(held.mapInArrow(_shingles, "node binary, x binary").dropDuplicates(["node"]), "texts")
-        got = cand.join(texts, "node").join(texts.select(F.col("node").alias("centre"), F.col("x").alias("y")), "centre").select("node", "centre", "x", "y")
-        done = got.mapInArrow(_verify, "node binary, centre binary, ok boolean")
-        edges = scratch.table(done if edges is None else done.union(edges), "edges")
+    wanted = bounded(scratch.table(open_.select("node").distinct(), "wanted"), 40)
+    held = rows.where("text IS NOT NULL").select("node", "text").join(wanted, "node", "left_semi")
+    texts = scratch.table(held.mapInArrow(_shingles, "node binary, x binary").dropDuplicates(["node"]), "texts")
+    edges = nodes.select("node", F.col("node").alias("centre"), F.lit(True).alias("ok")).limit(0)
+    while True:
+        # the centre of a key is its node of least hash, by one of a few hashes: keys of one group have few centres, but not all the same one
+        centres = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "marks"), F.struct(F.xxhash64(F.expr(f"pmod(key, {ORDERS})"), "node"), "node")).alias("c"))
+        centres = bounded(scratch.table(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.marks").alias("marks_c")), "centres"), 160)
+        pairs = scratch.table(open_.join(centres, "key").where("node != centre").withColumn("maybe", F.expr(f"least(n, m) >= {SIMILARITY} * greatest(n, m) AND aggregate(zip_with(marks, marks_c, (x, y) -> x = y), 0, (s, z) -> s + int(z)) >= {AGREE}")).drop("m", "marks_c"), "pairs")
+        edges = _verified(scratch, pairs.where("maybe").select("node", "centre"), edges, texts)
         good = bounded(scratch.table(edges.where("ok").select("node", "centre"), "good"), 72)
         # the centre leaves its key with those that it is similar to; a key with one node left has no pairs
-        left = pairs.join(good, ["node", "centre"], "left_anti").select("key", "node", "n")
-        left = scratch.table(left, "left")
-        again = bounded(scratch.table(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "again"), 16)
-        open_ = scratch.table(left.join(again, "key"), "open")
+        left = scratch.table(pairs.join(good, ["node", "centre"], "left_anti").select("key", "node", "n", "marks"), "left")
+        again = scratch.table(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (F.col("c") > IN_MEMORY).alias("large")), "again")
+        rest = left.join(bounded(again, 16), "key")
+        small = scratch.table(rest.where("NOT large"), "small")
+        shards = max(1, -(-small.count() // SHARD_ROWS))
+        cand = small.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards}L)")).groupBy("shard").applyInArrow(_centres_in_memory, "node binary, centre binary")
+        edges = _verified(scratch, cand, edges, texts)
+        if not again.where("large").limit(1).count():
+            break
+        open_ = scratch.table(rest.where("large").drop("large"), "open")
         scratch.drop(pairs, left)
-    links = edges.where("ok").select("node", "centre").distinct() if edges is not None else nodes.select("node", F.col("node").alias("centre")).limit(0)
-    links = scratch.table(links, "links")
+    links = scratch.table(edges.where("ok").select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct(), "links")
     roots = _components(scratch, links)
     degree = links.select("node").union(links.select("centre")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of = nodes.select("node", "least").join(roots, "node", "left").join(degree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
