@@ -50,23 +50,14 @@ VOWEL_STEMS = {"petr": "peter", "pavl": "pavol", "karl": "karol", "mark": "marek
 def name_stem(c: Column) -> Column:
     """Stem of a name in any case. Women's forms keep a mark of their own, so that Nováková is not Novák.
 
-    The endings are one alternation: a stem of two letters at least before a woman's, of three before another; ends of a
-    name are tried in their order, which for alternatives at one place is the order of the list, and a longer ending that
-    leaves too little gives way to the next."""
-    w = F.regexp_replace(F.lower(fold(c)), r"^[.,]+|[.,]+$", "")
-    out = F.when(_ends(w, FEMALE_ENDINGS, 2), F.concat(_cut(w, FEMALE_ENDINGS, 2), F.lit("~f")))
-    short = F.when(_ends(w, ENDINGS, 3), _cut(w, ENDINGS, 3)).otherwise(w)
-    back = F.create_map(*[F.lit(x) for kv in VOWEL_STEMS.items() for x in kv])
-    return out.otherwise(F.coalesce(F.try_element_at(back, short), short))
-
-
-def _ends(w: Column, endings: tuple[str, ...], least: int) -> Column:
-    return F.exists(F.array(*map(F.lit, endings)), lambda e: w.endswith(e) & (F.length(w) - F.length(e) >= least))
-
-
-def _cut(w: Column, endings: tuple[str, ...], least: int) -> Column:
-    first = F.filter(F.array(*map(F.lit, endings)), lambda e: w.endswith(e) & (F.length(w) - F.length(e) >= least))[0]
-    return F.substring(w, F.lit(1), F.length(w) - F.length(first))
+    An ending needs two letters before it if a woman's, else three. The leftmost ending that has them is the longest, and
+    the endings are listed longest first, so that one replacement does what trying them in order does."""
+    w = F.regexp_replace(F.lower(fold(c)), r"^[.,]+|[.,]+\z", "")
+    woman = F.regexp_replace(w, rf"(?<=..)(?:{'|'.join(FEMALE_ENDINGS)})\z", "~f")
+    short = F.regexp_replace(w, rf"(?<=...)(?:{'|'.join(ENDINGS)})\z", "")
+    for stem, full in VOWEL_STEMS.items():
+        short = F.when(short == stem, full).otherwise(short)
+    return F.when(woman != w, woman).otherwise(short)
 
 
 # fixed value: titles and forms of address that are no part of a name

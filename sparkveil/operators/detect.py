@@ -84,7 +84,10 @@ def _propagated(found: DataFrame, cfg: Config, known: DataFrame | None) -> DataF
     if known is not None:
         early = known.select("stem", F.struct(F.lit(-1).cast("long").alias("doc_seq"), F.lit(-1).cast(found.schema["unit_seq"].dataType).alias("unit_seq")).alias("since"))
         stems = stems.union(early).groupBy("stem").agg(F.min("since").alias("since"))
-    stems = small_side(written(stems, "stems"), 64)
+    stems = written(stems, "stems")
+    if not stems.limit(1).count():
+        return found
+    stems = small_side(stems, 64)
     words = found.select("doc_seq", "unit_seq", "text", F.explode("words").alias("w")).withColumn("surface", F.expr("substring(text, w.start + 1, w.end - w.start)")).drop("text")
     words = words.withColumn("stem", name_stem(F.col("w.word"))).join(stems, "stem").where(F.struct("doc_seq", "unit_seq") >= F.col("since"))
     if cfg.allow_list:

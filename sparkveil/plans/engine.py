@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import review, rewrite, tokens
 from ..operators.detect import detect
-from .tables import written
+from .tables import spread, written
 
 
 def as_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_seq, unit_seq, text from a table of texts with integer ids: one unit a document."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_seq"), F.lit(0).alias("unit_seq"), F.col(text_col).alias("text"))
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_seq"), F.lit(0).alias("unit_seq"), F.col(text_col).alias("text")))
 
 
 @dataclass

@@ -53,3 +53,12 @@ def numbered(df: DataFrame, group: list[str], by: str, order: list[str], name: s
     starts = df.groupBy(*group, "slice_").agg(F.count(F.lit(1)).alias("n_")).select(*group, "slice_", F.expr(f"coalesce(sum(n_) OVER (PARTITION BY {keys} ORDER BY slice_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("before_"))
     inner = F.expr(f"row_number() OVER (PARTITION BY {keys}, slice_ ORDER BY {', '.join(f'`{o}`' for o in [by, *order])})")
     return df.withColumn("row_", inner).join(starts, [*group, "slice_"]).withColumn(name, (F.col("before_") + F.col("row_")).cast("long")).drop("slice_", "row_", "before_")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt to all of them: matching costs far more than moving a few small files. Larger scans, and
+    what has been shuffled already, stay as they are."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
