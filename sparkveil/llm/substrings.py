@@ -5,7 +5,7 @@ occurs in two documents can repeat. Consecutive windows of one anchor are a segm
 document; the distinct ones are dealt by anchor to shards of bounded size. A shard's segments are indexed, and each is streamed
 through backward search: matched stretches that occur in a document with a smaller id are found for ranges of windows at a
 time, by the words that all of them share, then by all that they cover, then by halves. Windows of an anchor with very many
-occurrences are segments of their own, under their own hash.
+different segments are segments of their own, under their own hash.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .words import PLAIN, Words, _inverse, mix, pieces, powers
 
 WINDOW, ANCHOR = 50, 16
 SPREAD = WINDOW - ANCHOR + 1
-#: An anchor with more occurrences than this is hot: its windows are routed by their own hashes. Words of a shard, about.
-HOT, SHARD_WORDS = 400, 150_000
+#: An anchor with more different segments than this, about, is hot: its windows are routed by their own hashes. Words of a shard, about.
+HOT, SHARD_WORDS = 4000, 150_000
 _BASES = (np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -60,21 +60,22 @@ def _runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, d, t, n): anchors of each document with the number of their runs."""
+    """(anchor, d, t, s): a row a segment; s hashes its words."""
     for b in batches:
         d, t = b.column("d").to_numpy(), b.column("t").to_numpy()
         for i, _, data, offsets in pieces(b.column("text")):
-            doc, _, _, anchor = _runs(Words(data, offsets, PLAIN))
+            w = Words(data, offsets, PLAIN)
+            doc, start, n, anchor = _runs(w)
             if len(doc):
-                both = np.unique(np.stack([doc.astype(np.uint64), anchor]), axis=1, return_counts=True)
-                rows = both[0][0].astype(np.int64) + i
-                yield pa.RecordBatch.from_arrays([pa.array(both[0][1].view(np.int64)), pa.array(d[rows]), pa.array(t[rows]), pa.array(both[1].astype(np.int32))], ["anchor", "d", "t", "n"])
+                s = _hash_of(w, start, n, _BASES[0])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(d[doc + i]), pa.array(t[doc + i]), pa.array(s.view(np.int64))], ["anchor", "d", "t", "s"])
 
 
-def _prefix(h: np.ndarray, base: np.uint64) -> np.ndarray:
-    out = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * powers(base, len(h)), dtype=np.uint64, out=out[1:])
-    return out
+def _hash_of(w: Words, at: np.ndarray, n: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Hashes of the words of n windows from each position."""
+    sums = np.zeros(len(w.hash) + 1, dtype=np.uint64)
+    np.cumsum(w.hash * powers(base, len(w.hash)), dtype=np.uint64, out=sums[1:])
+    return mix((sums[at + n + WINDOW - 1] - sums[at]) * powers(_inverse(base), len(w.hash) + 1)[at] + n.astype(np.uint64))
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +102,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.concatenate([doc[many], doc[spread]])
             if not len(at):
                 continue
-            end = at + size + WINDOW - 1
-            s = [mix((p[end] - p[at]) * powers(_inverse(base), len(w.hash) + 1)[at] + size.astype(np.uint64)) for base in _BASES for p in [_prefix(w.hash, base)]]
+            s = [_hash_of(w, at, size, base) for base in _BASES]
             key = np.concatenate([anchor[many], s[0][len(many) :]])
             rows = of + i
             yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, *s)), pa.array(d[rows]), pa.array(t[rows]), pa.array((at - w.first[of]).astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "s1", "s2", "d", "t", "at", "n"])
@@ -184,36 +184,32 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     A word goes if a window over it also starts in a document with a smaller id. Nulls: a null text has no words; a null id is greater than all others.
     Rows with equal ids do not remove from one another. Texts of fewer words than a window keep all. Empty tables: no rows. Long texts are used whole."""
+    # what is found of documents grows with them: joins with it shuffle at every size
     scratch = Scratch(spark, "substrings")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("t"))
-    anchors = scratch.table(rows.select("text", "d", "t").mapInArrow(_anchors, "anchor long, d long, t long, n int"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum("n").alias("c")).where("lo < hi").select("anchor", (F.col("c") > HOT).alias("hot"))
+    anchors = scratch.table(rows.select("text", "d", "t").mapInArrow(_anchors, "anchor long, d long, t long, s long"), "anchors")
+    shared = anchors.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.approx_count_distinct("s").alias("c")).where("lo < hi").select("anchor", (F.col("c") > HOT).alias("hot"))
     shared = bounded(scratch.table(shared, "shared"), 24)
     lists = anchors.join(shared, "anchor").groupBy("d", "t").agg(F.collect_set(F.expr("CASE WHEN NOT hot THEN anchor END")).alias("shared"), F.collect_set(F.expr("CASE WHEN hot THEN anchor END")).alias("hot"))  # of one document
     lists = scratch.table(lists, "lists")
-    width = lists.agg(F.coalesce(F.sum(F.size("shared") + F.size("hot")), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    held = bounded(lists, 64 + 8 * -(-width["s"] // max(1, width["n"])))
     scratch.drop(anchors)
-    light = scratch.table(rows.join(held, ["d", "t"]).select("text", "d", "t", "shared", "hot").mapInArrow(_segments, "key long, s1 long, s2 long, d long, t long, at int, n int"), "segments")
+    light = scratch.table(rows.join(lists.hint("merge"), ["d", "t"]).select("text", "d", "t", "shared", "hot").mapInArrow(_segments, "key long, s1 long, s2 long, d long, t long, at int, n int"), "segments")
     alone = light.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("key")
     firsts = light.groupBy("key", "s1", "s2", "n").agg(F.min(F.struct("d", "t", "at")).alias("f")).select("key", "s1", "s2", "n", "f.*")
     firsts = scratch.table(firsts.join(bounded(scratch.table(alone, "keys"), 16), "key"), "firsts")
     words = firsts.agg(F.coalesce(F.sum(F.col("n") + WINDOW - 1), F.lit(0))).first()[0]
     shards = max(1, -(-words // SHARD_WORDS))
     of = scratch.table(firsts.groupBy("d", "t").agg(F.collect_list(F.struct("key", "s1", "s2", "d", "at", "n")).alias("segs")), "of")
-    n_of = max(1, of.count())
-    contents = rows.join(bounded(of, 64 + 40 * -(-firsts.count() // n_of)), ["d", "t"]).select("text", "segs").mapInArrow(_texts, "key long, s1 long, s2 long, d long, words binary")
+    contents = rows.join(of.hint("merge"), ["d", "t"]).select("text", "segs").mapInArrow(_texts, "key long, s1 long, s2 long, d long, words binary")
     contents = contents.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards}L)"))
     found = contents.groupBy("shard").applyInArrow(_shard, "key long, s1 long, s2 long, ranges array<struct<a:int,b:int>>")
     found = scratch.table(found.dropDuplicates(["key", "s1", "s2"]), "found")
-    lo = bounded(scratch.table(firsts.select("key", "s1", "s2", F.col("d").alias("lo")).join(found, ["key", "s1", "s2"], "left"), "lo"), 72)
-    gone = light.join(lo, ["key", "s1", "s2"]).where("d > lo OR ranges IS NOT NULL")
+    lo = scratch.table(firsts.select("key", "s1", "s2", F.col("d").alias("lo")).join(found, ["key", "s1", "s2"], "left"), "lo")
+    gone = light.join(lo.hint("merge"), ["key", "s1", "s2"]).where("d > lo OR ranges IS NOT NULL")
     gone = gone.select("d", "t", F.expr(f"CASE WHEN d > lo THEN array(named_struct('a', at, 'b', at + n + {WINDOW - 1})) ELSE transform(ranges, r -> named_struct('a', at + r.a, 'b', at + r.b + {WINDOW})) END").alias("g"))
     gone = scratch.table(gone.groupBy("d", "t").agg(F.flatten(F.collect_list("g")).alias("gone")), "gone")  # of one document
-    size = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    gone = bounded(gone, 64 + 32 * -(-size["s"] // max(1, size["n"])))
-    return rows.join(gone, ["d", "t"], "left").select("doc_id", "text", "gone").mapInArrow(_kept, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, runs array<struct<a:long,b:long>>")
+    return rows.join(gone.hint("merge"), ["d", "t"], "left").select("doc_id", "text", "gone").mapInArrow(_kept, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, runs array<struct<a:long,b:long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
