@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..config import Config
 from ..functions import patterns, validators
 from ..functions.text import LETTER, name_stem, norm_key, surname_stems
 from ..plans.tables import small_side, written
+from .ner import Model
 from .resolve import resolve
 from .scan import scan
 
@@ -52,7 +55,8 @@ def raw_spans(scanned: DataFrame, cfg: Config) -> DataFrame:
 
     wanted = F.array(*map(F.lit, sorted(cfg.entities))) if cfg.entities else F.array().cast("array<string>")
     keep = lambda s: s["ok"] & (F.array_contains(wanted, s["entity"]) | (s["source"] == "deny_list")) & (s["score"] >= cfg.threshold)
-    out = scanned.withColumn("rules_", _rule_table(cfg)).withColumn("raw", F.filter(F.transform("candidates", judge), keep)).drop("rules_")
+    other = F.transform("modelled", lambda s: F.struct(*[s[f].alias(f) for f in ("start", "end", "entity", "score", "source")], F.lit(True).alias("ok")))
+    out = scanned.withColumn("rules_", _rule_table(cfg)).withColumn("raw", F.filter(F.concat(F.transform("candidates", judge), other), keep)).drop("rules_", "modelled")
     if cfg.allow_list:
         out = out.withColumn("allow_", _allowed(cfg)).withColumn("raw", F.filter("raw", lambda s: ~F.array_contains(F.col("allow_"), norm_key(_text(s))))).drop("allow_")
     return out.withColumn("raw", F.transform("raw", lambda s: F.struct(*[s[f].alias(f) for f in ("start", "end", "entity", "score", "source")])))
@@ -66,12 +70,12 @@ def _text(s: Column) -> Column:
     return F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
 
 
-def detect(units: DataFrame, cfg: Config, known: DataFrame | None = None) -> DataFrame:
+def detect(units: DataFrame, cfg: Config, known: DataFrame | None = None, model: Callable[[], Model] | None = None) -> DataFrame:
     """units (doc_seq, unit_seq, text, ..) with `spans`: resolved, by start, each with its text.
 
     Surnames are propagated: a capitalised word whose stem is that of a surname found in the same unit, in an earlier one, or in
     `known` (stem), is a person. Order is that of doc_seq and unit_seq. Null and blank texts have no spans."""
-    found = raw_spans(scan(units, cfg), cfg).withColumn("spans", resolve("raw")).drop("candidates", "raw", "folded")
+    found = raw_spans(scan(units, cfg, model), cfg).withColumn("spans", resolve("raw")).drop("candidates", "raw", "folded")
     if cfg.propagate_names and "OSOBA" in cfg.entities:
         found = _propagated(written(found, "found"), cfg, known)
     with_text = lambda s: F.struct(*[s[f].alias(f) for f in ("start", "end", "entity", "score", "source")], _text(s).alias("text"))

@@ -6,7 +6,7 @@ stack on long repeats. It returns candidates only; checks, context, scores and e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import patterns
 from ..functions.text import fold, fold_py
+from .ner import Model, model_spans, required
 
 CANDIDATE = "struct<start:int,end:int,rule:int,value:string,near:string,tail:string>"
 CAPITALISED = "struct<start:int,end:int,word:string>"
 TAIL = 120
 _CAP = re.compile(rf"{patterns.BEFORE}[A-Z]{patterns.LET}+{patterns.AFTER}")
 _CANDIDATES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule", pa.int32()), ("value", pa.string()), ("near", pa.string()), ("tail", pa.string())]))
+MODELLED = "struct<start:int,end:int,entity:string,score:double,source:string>"
+_MODELLED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string()), ("score", pa.float64()), ("source", pa.string())]))
 _WORDS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("word", pa.string())]))
 
 
@@ -34,9 +37,10 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a + len(kept) - len(kept.lstrip(" \t")), a + len(kept)
 
 
-def scan(units: DataFrame, cfg: Config) -> DataFrame:
-    """units (any columns, with text) with `folded`, `candidates` and `words`: matches of the rules that cfg needs and of its deny list (rule -1 - i), and
-    capitalised words that are not all capitals, if names are to be propagated."""
+def scan(units: DataFrame, cfg: Config, model: Callable[[], Model] | None = None) -> DataFrame:
+    """units (any columns, with text) with `folded`, `candidates`, `words` and `modelled`: matches of the rules that cfg needs and of its deny list (rule -1 - i),
+    capitalised words that are not all capitals, if names are to be propagated, and spans of the model, if there is one."""
+    asked = required(cfg.engine, model)
     wanted = active_rules(cfg)
     deny = [rf"{patterns.BEFORE}{re.escape(fold_py(t))}{patterns.AFTER}" for t, _ in cfg.deny_list]
     names = cfg.propagate_names and "OSOBA" in cfg.entities
@@ -45,9 +49,10 @@ def scan(units: DataFrame, cfg: Config) -> DataFrame:
         all_ = patterns.rules()
         jobs = [(i, patterns.compiled(all_[i].name), all_[i], re.compile(all_[i].guard) if all_[i].guard else None) for i in wanted]
         denied = [re.compile(p, re.I) for p in deny]
+        label = model() if asked else None
         for b in batches:
-            candidates, words = [], []
-            for cell in b.column("folded"):
+            candidates, words, modelled = [], [], []
+            for cell, plain in zip(b.column("folded"), b.column("text"), strict=True):
                 text = cell.as_py() or ""
                 found: list[dict] = []
                 if text.strip():
@@ -64,9 +69,10 @@ def scan(units: DataFrame, cfg: Config) -> DataFrame:
                     for i, pattern in enumerate(denied):
                         found += [{"start": m.start(), "end": m.end(), "rule": -1 - i, "value": m.group(), "near": "", "tail": ""} for m in pattern.finditer(text)]
                 candidates.append(found)
+                modelled.append([{"start": a, "end": e, "entity": kind, "score": score, "source": "ner"} for a, e, kind, score in model_spans(plain.as_py(), label)] if label and text.strip() else [])
                 words.append([{"start": m.start(), "end": m.end(), "word": m.group()} for m in _CAP.finditer(text) if not m.group().isupper()] if names else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(candidates, _CANDIDATES), pa.array(words, _WORDS)], [*b.schema.names, "candidates", "words"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(candidates, _CANDIDATES), pa.array(words, _WORDS), pa.array(modelled, _MODELLED)], [*b.schema.names, "candidates", "words", "modelled"])
 
     folded = units.withColumn("folded", fold(F.coalesce("text", F.lit(""))))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in folded.schema), f"candidates array<{CANDIDATE}>", f"words array<{CAPITALISED}>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in folded.schema), f"candidates array<{CANDIDATE}>", f"words array<{CAPITALISED}>", f"modelled array<{MODELLED}>"])
     return folded.mapInArrow(run, schema)

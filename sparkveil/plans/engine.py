@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import review, rewrite, tokens
 from ..operators.detect import detect
+from ..operators.ner import Model
 from .tables import spread, written
 
 
@@ -35,12 +37,12 @@ class Run:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, cfg: Config | None = None):
-        self.spark, self.cfg = spark, cfg or Config()
+    def __init__(self, spark: SparkSession, cfg: Config | None = None, model: Callable[[], Model] | None = None):
+        self.spark, self.cfg, self.model = spark, cfg or Config(), model
 
     def scan(self, units: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """A row a span with its key."""
-        return tokens.occurrences(detect(units, self.cfg, known))
+        return tokens.occurrences(detect(units, self.cfg, known, self.model))
 
     def anonymize(self, units: DataFrame, mode: str, vault: dict[str, DataFrame] | None = None) -> Run:
         """units with tokens for spans. reversible: the run's vault continues the given one; irreversible: no vault, and no table of originals is kept beyond the run's own tables."""
@@ -57,4 +59,4 @@ class Engine:
         """An engine that leaves alone all variants of the excluded groups (base tokens) and looks for the added terms."""
         off = run.tokens.where(F.col("base").isin(list(excluded))).select("text").distinct().collect()  # of the groups that a person named
         cfg = self.cfg
-        return Engine(self.spark, Config(**{**cfg.__dict__, "allow_list": (*cfg.allow_list, *(r["text"] for r in off)), "deny_list": (*cfg.deny_list, *added)}))
+        return Engine(self.spark, Config(**{**cfg.__dict__, "allow_list": (*cfg.allow_list, *(r["text"] for r in off)), "deny_list": (*cfg.deny_list, *added)}), self.model)

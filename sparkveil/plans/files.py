@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,23 @@ def with_originals(vault: dict[str, DataFrame], files: DataFrame, out: DataFrame
     return {**vault, "originals": pairs.select("sha256", "content")}
 
 
+def protocol(findings: DataFrame) -> DataFrame:
+    """name, entity, n: replacements by file and type, by type (name null) and of all, the most frequent first within each."""
+    return findings.groupingSets([["name", "entity"], ["entity"], []], "name", "entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("name").asc_nulls_last(), F.desc("n"), "entity")
+
+
+def archive(out: DataFrame, findings: DataFrame, path: str) -> None:
+    """A ZIP with the written files and protokol.txt, the counts by file and type. Files are added one by one as they come."""
+    lines: dict[str | None, list[str]] = {}
+    for r in protocol(findings).toLocalIterator():
+        lines.setdefault(r["name"], []).append(f"  {r['entity'] or 'spolu'}: {r['n']}")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in out.toLocalIterator():
+            if r["content"] is not None:
+                z.writestr(r["name"], bytes(r["content"]))
+        z.writestr("protokol.txt", "\n".join(x for name, rows in lines.items() for x in [name or "Spolu", *rows]))
+
+
 def save(out: DataFrame, folder: str) -> list[tuple[str, str | None, list[str]]]:
     """Writes files one by one as they come, never all at once; (name, error, warnings) of each."""
     where = Path(folder)

@@ -93,3 +93,15 @@ def unique_names(files: DataFrame) -> DataFrame:
     rows = files.withColumn("name", base).withColumn("k_", F.expr("row_number() OVER (PARTITION BY name ORDER BY doc_seq)"))
     name = F.when(F.col("k_") == 1, F.col("name")).otherwise(F.concat(F.regexp_extract("name", r"^(.*?)(\.[^.]+)?$", 1), F.format_string(" (%d)", "k_"), F.regexp_extract("name", r"(\.[^.]+)$", 1)))
     return rows.withColumn("name", name).drop("k_")
+
+
+#: Largest file that an upload takes, in bytes.
+UPLOAD_LIMIT = 200 << 20
+
+
+def intake(uploads: DataFrame) -> DataFrame:
+    """uploads (doc_seq, name, content) with unique base names, `kind` (file or vault) and `error`: of unsupported formats and of files beyond the limit."""
+    named = unique_names(uploads)
+    vault = F.lower("name").endswith(".vault")
+    error = F.when(F.octet_length("content") > UPLOAD_LIMIT, "larger than 200 MB").when(~vault & format_of(F.col("name")).isNull(), "unsupported format")
+    return named.withColumn("kind", F.when(vault, "vault").otherwise("file")).withColumn("error", error)

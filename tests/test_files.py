@@ -1,5 +1,6 @@
 import email
 import io
+import re
 import zipfile
 from email.message import EmailMessage
 
@@ -7,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkveil.cli import main
+from sparkveil.operators import ner
 from sparkveil.operators.detect import detect
 from sparkveil.config import Config
+from sparkveil.plans import files as runs
 from sparkveil.plans.engine import Engine
 from sparkveil.sources import documents, files, pages
+from sparkveil.vault import TABLES
 from sparkveil.streaming.incremental import VaultVersions, anonymize_stream
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -146,3 +150,41 @@ def test_stream_numbers_as_one_batch(spark, tmp_path):
 def test_units_of_a_unit_do_not_mix(spark):
     df = spark.createDataFrame([(0, 0, "tel."), (0, 1, "0905 123 456")], "doc_seq long, unit_seq int, text string")
     assert [s["score"] for r in detect(df, Config()).orderBy("unit_seq").collect() for s in r["spans"]] == [0.75]
+
+
+def test_intake(spark):
+    df = spark.createDataFrame([(0, "c:\\x\\a.txt", bytearray(b"1")), (1, "a.txt", bytearray(b"2")), (2, "k.vault", bytearray(b"")), (3, "p.exe", bytearray(b""))], "doc_seq long, name string, content binary")
+    assert [(r["name"], r["kind"], r["error"]) for r in files.intake(df).orderBy("doc_seq").collect()] == [("a.txt", "file", None), ("a (2).txt", "file", None), ("k.vault", "vault", None), ("p.exe", "file", "unsupported format")]
+
+
+def test_archive(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("pán Novák, a@b.sk, c@d.sk")
+    out, findings, _ = runs.anonymize_files(spark, [str(tmp_path / "a.txt")], "irreversible")
+    runs.archive(out, findings, str(tmp_path / "o.zip"))
+    z = zipfile.ZipFile(tmp_path / "o.zip")
+    assert z.namelist() == ["a_anonym.txt", "protokol.txt"]
+    assert z.read("protokol.txt").decode() == "a.txt\n  EMAIL: 2\n  OSOBA: 1\nSpolu\n  spolu: 3\n  EMAIL: 2\n  OSOBA: 1"
+
+
+def test_pdf_originals(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "e_anonym.pdf").write_bytes(b"new")
+    empty = {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
+    vault = empty | {"originals": spark.createDataFrame([(hashlib.sha256(b"new").hexdigest(), bytearray(b"old"))], TABLES["originals"])}
+    row = runs.restore_files(spark, [str(tmp_path / "e_anonym.pdf")], vault).first()
+    assert (row["name"], bytes(row["content"]), row["restored"], row["error"]) == ("e_obnovene.pdf", b"old", -1, None)
+
+
+def test_model_plug_in(spark):
+    def factory():
+        return lambda text: [(m.start(), m.end(), "B-LOC", 0.9) for m in re.finditer("Bratislava|Mesto", text)]
+
+    df = spark.createDataFrame([(0, 0, "V meste Bratislava - Mesto. " + "x " * 1000 + "Bratislava")], "doc_seq long, unit_seq int, text string")
+    cfg = Config.of({"engine": "rules+ner", "entities": {"enable": ["LOKALITA"]}})
+    assert [r["text"] for r in Engine(spark, cfg, factory).scan(df).orderBy("start").collect()] == ["Bratislava - Mesto", "Bratislava"]
+    with pytest.raises(files.BackendUnavailable):
+        Engine(spark, cfg).scan(df)
+    assert [ner.entity_of(x) for x in ("B-PER", "LABEL_3", "I-GPE", "O", "LABEL_9")] == ["OSOBA", "ORGANIZACIA", "LOKALITA", None, None]
+    text = "a b\n" * 700 + "c" * 3000
+    assert "".join(c for _, c in ner.chunks(text)) == text and max(len(c) for _, c in ner.chunks(text)) <= ner.CHUNK
