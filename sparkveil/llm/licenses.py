@@ -2,8 +2,7 @@
 
 Words unique to both the text and a template are anchors; their longest increasing run is the skeleton of the alignment, and the
 gaps between its anchors are aligned in the same way, until no gap has a word unique to both. Coverage is the share of the
-template's words that are aligned. A text is searched in the stretches that hold enough of a template's words: a template covered to
-the threshold has that many of its words within a bounded distance.
+template's words that are aligned. A text is aligned around those words of a template of which one must be there.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .words import FOLDED, Words, pieces
 
-#: Coverage from which a license counts as found; words between aligned words, at most, as a multiple of the template's words.
+#: Coverage from which a license counts as found; words that are looked at on each side of such a word, as a multiple of the template's.
 COVERAGE, SLACK = 0.8, 2
 # fixed values: notices of public licenses, by SPDX id
 TEMPLATES = {
@@ -82,45 +81,55 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
+    """A template of n words of which `need` must be aligned has an aligned word among any n - need + 1 of its places. Those
+    of its longest words, which are rare in most texts, are its gate: a text is aligned only around them."""
+
     def __init__(self, templates: dict[str, str]):
-        self.words = {}
+        self.words, self.need = {}, {}
+        gates: dict[int, list[str]] = {}
         for name, text in templates.items():
             data = np.frombuffer(text.encode(), np.uint8)
-            self.words[name] = Words(data, np.array([0, len(data)]), FOLDED).hash.tolist()
-        # of the words of any template; a text is only looked at where it has some
-        self.known = np.unique(np.array([w for ws in self.words.values() for w in ws], dtype=np.uint64))
+            w = Words(data, np.array([0, len(data)]), FOLDED)
+            t = self.words[name] = w.hash.tolist()
+            need = self.need[name] = -(-int(COVERAGE * 1000 * len(t)) // 1000)
+            rare = sorted(range(len(t)), key=lambda i: (w.start[i] - w.end[i], i))[: len(t) - need + 1]  # noqa: B023
+            for h in {t[i] for i in rare}:
+                gates.setdefault(h, []).append(name)
+        self.gates = gates
+        self.known = np.array(sorted(gates), dtype=np.uint64)
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def marked(self, h: np.ndarray) -> np.ndarray:
-        """Positions of words of any template."""
+        """Positions of gate words of any template."""
         i = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
         return i[np.isin(h[i], self.known)]
 
     def scan(self, h: np.ndarray, marked: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, end word) of one text: the best stretch of each template that is covered enough, templates whose
         stretch overlaps that of a better one left out."""
+        hits: dict[str, list[int]] = {}
+        for p, word in zip(marked.tolist(), h[marked].tolist(), strict=True):
+            for name in self.gates[word]:
+                hits.setdefault(name, []).append(p)
         found = []
-        for name, t in self.words.items():
-            need = -(-int(COVERAGE * 1000 * len(t)) // 1000)
-            own = marked[np.isin(h[marked], np.array(t, dtype=np.uint64))]
-            if len(own) < need:
-                continue
-            # stretches of the template's words without a wide gap
-            cut = np.flatnonzero(np.diff(own) > SLACK * len(t)) + 1
+        for name, places in hits.items():
+            t, need = self.words[name], self.need[name]
+            reach, own = SLACK * len(t), set(t)
+            spans: list[list[int]] = []
+            for p in places:  # near gate words are looked at together, but never more than a few templates' lengths
+                if spans and p + reach - spans[-1][0] <= 4 * reach:
+                    spans[-1][1] = p + reach
+                else:
+                    spans.append([p - reach, p + reach])
             best = None
-            for part in np.split(own, cut):
-                if len(part) < need:
+            for x, y in spans:
+                x, part = max(0, x), h[max(0, x) : y].tolist()
+                if sum(w in own for w in part) < need:
                     continue
-                lo, hi = int(part[0]), int(part[-1]) + 1
-                # whole stretch, and windows of the template's length over a long one
-                spans = [(lo, hi)] if hi - lo <= SLACK * len(t) else [(int(p), min(int(p) + SLACK * len(t), hi)) for p in part[np.isin(h[part], np.array(t[: len(t) - need + 1], dtype=np.uint64))]]
-                for x, y in spans:
-                    if len(np.intersect1d(h[x:y], np.array(t, dtype=np.uint64))) < COVERAGE * len(set(t)) - (len(t) - need):
-                        continue
-                    al = patience(h[x:y].tolist(), t)
-                    if len(al) >= need and (best is None or len(al) / len(t) > best[1]):
-                        best = (name, len(al) / len(t), x + al[0][0], x + al[-1][0] + 1)
+                al = patience(part, t)
+                if len(al) >= need and (best is None or len(al) / len(t) > best[1]):
+                    best = (name, len(al) / len(t), x + al[0][0], x + al[-1][0] + 1)
             if best:
                 found.append(best)
         # of templates that share words, the one with most of them aligned, then the one covered best
@@ -143,14 +152,13 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
-        least = min((-(-int(COVERAGE * 1000 * len(t)) // 1000) for t in scanner.words.values()), default=0)
         for b in batches:
             out: list[list] = [[None, 0.0, ""] for _ in range(b.num_rows)]
             for i, _, data, offsets in pieces(b.column("text")):
                 w = Words(data, offsets, FOLDED)
                 marked = scanner.marked(w.hash)
                 cut = np.searchsorted(marked, w.first)
-                for k in np.flatnonzero(np.diff(cut) >= max(1, least)).tolist():
+                for k in np.flatnonzero(np.diff(cut)).tolist():
                     first = int(w.first[k])
                     found = scanner.scan(w.hash[first : w.first[k + 1]], marked[cut[k] : cut[k + 1]] - first)
                     if found:
