@@ -61,7 +61,7 @@ def sketch(x: np.ndarray) -> np.ndarray:
     """Band keys of a text's labelled shingles."""
     k = min(ORDERED, len(x))
     out = np.zeros(BANDS, dtype=np.uint64)
-    step = max(1, (1 << 20) // len(x))
+    step = max(1, (1 << 17) // len(x))
     for a in range(0, BANDS, step):
         y = x[None, :] * _seeds[a : a + step, None]
         y ^= y >> np.uint64(32)
@@ -185,11 +185,12 @@ def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     roots = scratch.table(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("r")), "other").groupBy("node").agg(F.min("r").alias("r"))
-        step = roots.join(near, "node").select("node", "root", F.least("root", "r").alias("new"))
+        # written, so that both sides of the next join are shuffled and a root of very many nodes can be split
+        step = scratch.table(roots.join(near, "node").select("node", "root", F.least("root", "r").alias("new")), "step")
         # a root that moved takes along the nodes below it
         up = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
         moved = scratch.table(step.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("root"), (F.least("new", F.coalesce("up", "new")) != F.col("root")).alias("moved")), "roots")
-        scratch.drop(roots)
+        scratch.drop(roots, step)
         roots = moved
         if not moved.where("moved").limit(1).count():
             return roots.select("node", "root")

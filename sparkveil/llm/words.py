@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at a time; a longer text is worked on alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.default_rng(20_240_601)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _R, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
