@@ -4,12 +4,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    root = str(Path(__file__).resolve().parent.parent)
+    root = ":".join(map(str, (Path(__file__).resolve().parent.parent, Path(__file__).resolve().parent)))
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").config("spark.executorEnv.PYTHONPATH", root).getOrCreate()
