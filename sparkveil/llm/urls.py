@@ -43,7 +43,7 @@ def fitting_rule(h: Column, p: Column, rules: tuple[tuple[str, str], ...] = RULE
     """(rule, its verdict), null where none fits. A rule fits its host and all subdomains, if the path starts with the rule's.
     Rules of equal length that fit the same URL: the one listed first."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, text in sorted(rules, key=lambda r: len(r[1])):
+    for what, text in sorted(reversed(rules), key=lambda r: len(r[1])):  # later ones win, so the first listed of equal length comes last
         name, slash, rest = text.partition("/")
         fits = ((h == name) | h.endswith(f".{name}")) & p.startswith(slash + rest)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)

@@ -212,6 +212,12 @@ def test_urls(spark):
     assert urls.judge(spark, df.limit(0)).count() == 0
 
 
+def test_rules_of_equal_length(spark):
+    df = spark.createDataFrame([("a.b", "/x")], "h string, p string")
+    for rules, want in (((("allow", "a.b/x"), ("block", "b/x")), "allow"), ((("allow", "a.b/"), ("block", "b/x"), ("allow", "b/x")), "allow"), ((("allow", "b/x"), ("block", "b/x")), "allow"), ((("block", "b/x"), ("allow", "b/x")), "block")):
+        assert df.select(urls.fitting_rule(F.col("h"), F.col("p"), rules)[1].alias("v")).first()["v"] == want
+
+
 def test_url_trees_learn_from_labels(spark):
     rng = random.Random(2)
     rows = [(i, f"http://{'win-' * (bad := i % 2)}{rng.choice(['alpha', 'beta', 'gamma'])}.net/{'9' * rng.randint(3, 7) if bad else rng.choice(['about', 'news', 'shop'])}{'?a=1&b=2&c=3' * bad}", bad) for i in range(600)]

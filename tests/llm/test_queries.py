@@ -1,0 +1,51 @@
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from oracle import SF, available, same
+from sparkveil.llm.queries import ORACLES, QUERIES
+
+pytestmark = pytest.mark.skipif(not available(), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows_as_sql(spark, name):
+    same(spark, QUERIES[name], ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_a_row_for_every_document_or_page(spark, name):
+    table, key = ("pages", "page_id") if name == "op3_urls" else ("documents", "doc_id")
+    got = QUERIES[name](spark, SF).select(key)
+    want = spark.read.parquet(f"{SF}/{table}.parquet").select(key)
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in want.collect())
+
+
+def test_pipeline(spark):
+    """Every stage does to its input what its operator says, and the last adds the shard."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        seen[name] = (docs, out)
+        if name != "shard":
+            assert out.columns == docs.columns
+        docs = out.persist()
+    before, after = seen["language_id"]
+    assert ids(before) - ids(after) == {r["doc_id"] for r in QUERIES["op6_language"](spark, SF).where("lang_pred = 'und'").collect()}
+    before, after = seen["near_dedup"]
+    classes = QUERIES["op2_near"](spark, SF).collect()
+    kept = ids(before)
+    least = {}
+    for r in classes:
+        if r["doc_id"] in kept:
+            least[r["class_id"]] = min(r["doc_id"], least.get(r["class_id"], r["doc_id"]))
+    assert ids(after) == set(least.values())
+    before, after = seen["decontaminate"]
+    assert ids(after) == ids(before) - {r["doc_id"] for r in QUERIES["op9_decontaminate"](spark, SF).where("contaminated").collect()}
+    before, after = seen["mix_sources"]
+    words = F.coalesce(F.sum(F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))), F.lit(0))
+    assert abs(after.agg(words).first()[0] - 1.5 * before.agg(words).first()[0]) <= 20
+    assert "shard" in docs.columns and docs.select(F.max("shard")).first()[0] <= 15
+    assert corpus_pipeline.run(spark, SF).count() == docs.count()
