@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Largest side, by estimated bytes, that is sent to every executor. Larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+ARROW_BYTES = 8 << 20
 _own: dict[str, str] = {}
 
 
@@ -29,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES at most for what follows, where the session has Spark's own limit: texts are long, and a worker holds a
+    batch more than once. A limit that somebody has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(name, "67108864b")).rstrip("b") in ("67108864", "64m"):
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 class Scratch:
     """Tables in the shared folder that cut the lineage. drop() removes those that nothing reads any more."""
 

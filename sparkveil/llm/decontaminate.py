@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .words import FOLDED, Words, pieces
 
 WINDOW, MIN_ITEMS = 8, 2
@@ -122,6 +122,7 @@ def _find(index: Index, text: pa.Array) -> Iterator[tuple[int, int, list[tuple[i
 
 def indexes(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> list:
     """Broadcast indexes of the items, SLICE_BYTES of text each; words are counted over all documents."""
+    small_batches(spark)
     slices: list[list[tuple[str, list[tuple[str, ...]]]]] = [[]]
     held = 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():

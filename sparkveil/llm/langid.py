@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 #: Features; labelled documents a language that are fitted on at most, those of least hash; languages at most, the most frequent.
 DIMS, PER_LANGUAGE, LANGUAGES = 2048, 400, 64
@@ -119,6 +119,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
 
 def learn(spark: SparkSession, labelled: DataFrame) -> Model | None:
     """A model from (text, lang): at most PER_LANGUAGE rows of each of the LANGUAGES most frequent languages, chosen by a hash of the text."""
+    small_batches(spark)
     tally = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not tally:
         return None
@@ -142,6 +143,7 @@ def learn(spark: SparkSession, labelled: DataFrame) -> Model | None:
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score. `und` and 0 for null, for texts without a letter, and where there is no model."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # languages^2 x DIMS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

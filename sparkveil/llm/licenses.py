@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import FOLDED, Words, pieces
 
 #: Coverage from which a license counts as found; words that are looked at on each side of such a word, as a multiple of the template's.
@@ -147,6 +148,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPL
 
     Nulls: a null text has no license; a null doc_id is kept. Ties: the name that comes first. Repeated rows are returned each. Empty tables: no rows.
     Long texts are scanned whole."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(Scanner(templates))  # of the templates, whatever the documents
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded
+from .common import Scratch, bounded, small_batches
 
 UNIT, TAIL = 192, 16
 #: Chunk sizes: least, by the mask on average that much more, most.
@@ -147,6 +147,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(made, media, refs, loans): the payload of each row; the store, a row a distinct payload; (key, k, d) of chunks that a payload does not own; (key, k, d) of those that others need."""
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     made = scratch.table(rows.mapInArrow(_names, f"doc_id {kind}, n_bytes long, key binary, chunks {_CHUNKS}"), "made")

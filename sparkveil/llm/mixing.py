@@ -128,7 +128,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     takes twice two times, one that it takes in part as the words taken of each pass, joined by spaces, with n_chars counted anew."""
     numbered = Scratch(spark, "mixed").table(docs.withColumn("mix_doc_", F.monotonically_increasing_id()), "docs", "snappy")
     _, _, blocks = plan(spark, numbered, id_col="mix_doc_")
-    parts = blocks.where("taken > 0").groupBy("doc_id", "pass").agg(F.sum("taken").alias("taken_"), F.array_sort(F.collect_list(F.struct("start", "taken"))).alias("parts_")).withColumnRenamed("doc_id", "mix_doc_")
+    parts = blocks.where("taken > 0").groupBy("doc_id", "pass").agg(F.sum("taken").alias("taken_"), F.array_sort(F.collect_list(F.struct("start", "taken"))).alias("parts_")).withColumnRenamed("doc_id", "mix_doc_").drop("pass")
     out = numbered.join(parts, "mix_doc_").withColumn("whole_", F.col("taken_") == word_count(F.col("text")))
     cut = f"array_join(flatten(transform(parts_, p -> slice(regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), cast(p.start AS int) + 1, cast(p.taken AS int)))), ' ')"
     out = out.withColumn("text", F.expr(f"CASE WHEN whole_ THEN text ELSE {cut} END"))

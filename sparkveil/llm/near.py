@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded
+from .common import Scratch, bounded, small_batches
 from .words import PLAIN, Words, mix, pieces
 
 #: A pair at the threshold has the same ORDERED minima in a band with probability 0.8^6 = 0.26, and in none of 40 bands with (1 - 0.26)^40 = 5e-6.
@@ -201,6 +201,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
     Nulls: a row with a null text is alone in a class of its own id; a null id is kept, and is the class id only where the class has no other.
     Empty texts, and texts without words, are classes of equal texts. Texts of fewer than five words are one shingle. Repeated rows have one node and class. Empty tables: no rows. Long texts are used whole."""
+    small_batches(spark)
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("node"))
     kind = dict(rows.dtypes)["doc_id"]

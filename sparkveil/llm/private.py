@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bilstm import BiLstmCrf, encode
-from .common import Scratch
+from .common import Scratch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
@@ -139,6 +139,7 @@ def _has_trigger(column: pa.Array) -> np.ndarray:
 
 def learn(spark: SparkSession, docs: DataFrame) -> BiLstmCrf | None:
     """A network from the texts of about SAMPLE_DOCS documents."""
+    small_batches(spark)
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     some = docs.where("text IS NOT NULL").where(F.shiftrightunsigned(F.xxhash64(F.lit("pii"), "text"), 11).cast("double") / float(2**53) < share)
 
@@ -212,6 +213,7 @@ def find(spark: SparkSession, docs: DataFrame, net: BiLstmCrf | None, id_col: st
 
     Nulls: a null text is empty; a null doc_id is kept. Empty texts have no spans. Repeated rows are returned each. Empty tables: no rows.
     Texts are searched whole; memory grows with one batch of texts."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(net)  # a few thousand numbers
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

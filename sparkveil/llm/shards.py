@@ -74,7 +74,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with the shard that their id draws. The last stage, so a column is added."""
-    name = "shard" if "shard" not in docs.columns else "shard_"
+    name, taken = "shard", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
     return docs.withColumn(name, draw_shard(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), topology(16)))
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded
+from .common import Scratch, bounded, small_batches
 from .fmindex import FMIndex
 from .words import PLAIN, Words, _inverse, mix, pieces, powers
 
@@ -184,6 +184,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     A word goes if a window over it also starts in a document with a smaller id. Nulls: a null text has no words; a null id is greater than all others.
     Rows with equal ids do not remove from one another. Texts of fewer words than a window keep all. Empty tables: no rows. Long texts are used whole."""
+    small_batches(spark)
     # what is found of documents grows with them: joins with it shuffle at every size
     scratch = Scratch(spark, "substrings")
     text = F.coalesce(F.col(text_col), F.lit(""))
