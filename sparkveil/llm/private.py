@@ -9,7 +9,9 @@ overlap none and hold what its kind needs, and of two that overlap the one of mo
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +26,8 @@ from .common import Scratch, small_batches
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
 SIZE, STEP, EDGE = 96, 48, 2
-#: Documents that windows are looked for in; windows fitted on at most, those of least hash; sequences decoded at a time.
-SAMPLE_DOCS, TRAIN_WINDOWS, BATCH = 20_000, 480, 512
+#: Documents that windows are looked for in; windows fitted on at most, those of least hash; sequences decoded at a time; spans of one text that are fitted on.
+SAMPLE_DOCS, TRAIN_WINDOWS, BATCH, PER_TEXT = 20_000, 480, 512, 16
 
 # fixed values: the patterns of the contract, in forms without needless backtracking
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,21 +99,24 @@ def rewritten(kind: str, value: str, turn: int) -> str:
 
 
 def training_windows(text: str) -> list[tuple[str, list[int]]]:
-    """Windows around rule spans, as they are and rewritten, and around digits that no rule takes."""
-    spans = base_spans(text)
+    """Windows around rule spans, PER_TEXT of them at most and evenly over the text, as they are and rewritten, and around digits that no rule takes."""
+    all_ = sorted(base_spans(text), key=lambda s: s[1:])
+    starts, reach = [s[1] for s in all_], max((s[2] - s[1] for s in all_), default=0)
     out = []
-    for n, (kind, a, b) in enumerate(spans):
+    for n in range(0, len(all_), max(1, -(-len(all_) // PER_TEXT))):
+        kind, a, b = all_[n]
         if b - a > SIZE // 2:
             continue
+        spans = all_[bisect_left(starts, a - SIZE - reach) : bisect_right(starts, b + SIZE)]
         at = max(0, a - 8 - (a * 7 + n) % (SIZE - (b - a) - 8))
         out.append(_tagged(text, spans, at))
         new = rewritten(kind, text[a:b], a + n)
         if new != text[a:b] and len(new) <= SIZE // 2:
             lead, tail = text[max(0, a - 40) : a], text[b : b + 40]
             out.append(_tagged(lead + new + tail, [(kind, len(lead), len(lead) + len(new))], 0))
-    taken = [(a, b) for _, a, b in spans]
-    for m in list(re.finditer(r"[0-9]+", text))[:3]:
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+    for m in itertools.islice(re.finditer(r"[0-9]+", text), 3):
+        spans = all_[: bisect_right(starts, m.start() + SIZE)]
+        if not any(a < m.end() and m.start() < b for _, a, b in spans):
             out.append(_tagged(text, spans, max(0, m.start() - 30)))
     return out
 
@@ -183,11 +188,15 @@ def added_spans(net: BiLstmCrf | None, texts: list[str], base: list[list[tuple[s
     out = []
     for t, b, v in zip(texts, base, votes, strict=True):
         kept: list[tuple[str, int, int]] = []
+        held = bytearray(len(t))
+        for _, x, y in b:
+            held[x:y] = b"\1" * (y - x)
         for (kind, x, y), _ in sorted(v.items(), key=lambda q: (-q[1], q[0][1] - q[0][2], q[0][1])):
             value = t[x:y]
             clear = (x == 0 or not t[x - 1].isalnum()) and (y == len(t) or not t[y].isalnum())
-            if clear and plausible(kind, value) and not any(x < e and s < y for _, s, e in [*b, *kept]):
+            if clear and plausible(kind, value) and not any(held[x:y]):
                 kept.append((kind, x, y))
+                held[x:y] = b"\1" * (y - x)
         out.append(kept)
     return out
 

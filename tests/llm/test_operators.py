@@ -239,6 +239,10 @@ def test_rule_spans_are_those_of_the_patterns():
         assert private.base_spans(t) == want, t
     assert private.base_spans(None) == private.base_spans("") == []
     assert private.base_spans("a" * 300000 + "@" + "1" * 100000) == []
+    many = "one@two.three " * 20000
+    assert len(private.training_windows(many)) <= private.PER_TEXT * 2 and len(private.base_spans(many)) == 20000
+    net = bilstm.BiLstmCrf(private.TAGS)
+    assert not any(b - a < 1 for _, a, b in private.added_spans(net, [many], [private.base_spans(many)])[0])
 
 
 def test_network_gradient():
