@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Formats by suffix, in lower case.
 FORMATS = {".txt": "text", ".md": "text", ".csv": "text", ".json": "text", ".docx": "docx", ".pdf": "pdf", ".eml": "eml"}
@@ -47,8 +47,7 @@ def collect(spark: SparkSession, inputs: list[str]) -> DataFrame:
     return out.join(order, ["arg", "path"]).select("doc_seq", "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
 
 
-@F.udf(T.StringType())
-def _legacy(content: bytes) -> str | None:
+def _first_that_fits(content: bytes | None) -> str | None:
     if content is None:
         return None
     for encoding in LEGACY:
@@ -59,9 +58,13 @@ def _legacy(content: bytes) -> str | None:
     return bytes(content).decode("utf-8", "replace")
 
 
+def _legacy(content: pd.Series) -> pd.Series:
+    return content.map(_first_that_fits)
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 with or without a byte order mark, else cp1250, else ISO 8859-2. Spark decodes UTF-8; the others go to Python."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\ufeff", "")).otherwise(_legacy(content))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\ufeff", "")).otherwise(F.pandas_udf(_legacy, "string")(F.when(~F.is_valid_utf8(content.cast("string")), content)))
 
 
 def text_units(files: DataFrame) -> DataFrame:
