@@ -2,9 +2,9 @@
 
 Equal texts are one node. A node's five-word shingles are labelled with their occurrence; for each of BANDS hash orders, the
 ORDERED labelled shingles of least hash are taken in the order of the text, and their sequence is a band key. Nodes with a common key
-are candidates: those of a key are compared with one of them, its centre, and those that the centre is not similar to
-choose other centres among them, until none is left, so that no key needs all its pairs and no node is dropped. A
-pair is verified by a banded alignment of the two shingle sequences; the classes are the connected components of the verified pairs.
+are candidates: those of a key are first compared with its best-connected node, its centre, then with their likeliest
+partners; what is left are the pairs of nodes that no verified pairs connect yet, and all of them are compared. So only pairs
+within a component are saved. A pair is verified by a banded alignment of the two shingle sequences; the classes are the connected components of the verified pairs.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from .words import PLAIN, Words, mix, pieces
 
 #: A pair at the threshold has the same ORDERED minima in a band with probability 0.8^6 = 0.26, and in none of 40 bands with (1 - 0.26)^40 = 5e-6.
 SHINGLE, SIMILARITY, BANDS, ORDERED = 5, 0.8, 40, 6
-#: Bands that a candidate pair agrees in: at the threshold fewer have probability 8e-5. A node that agrees with a centre in STRONG needs no other. Hashes that centres are chosen by.
-AGREE, STRONG, ORDERS = 2, 6, 4
-#: Keys with at most so many nodes left are settled in one task's memory, SHARD_ROWS such nodes a task; larger ones go another round.
+#: Bands that a candidate pair agrees in: at the threshold fewer have probability 8e-5.
+AGREE = 2
+#: Nodes of a key that are compared in one task's memory at most, SHARD_ROWS nodes a task; larger keys are cut into blocks, and each two of these compared.
 IN_MEMORY, SHARD_ROWS = 2000, 20_000
 _seeds = np.random.default_rng(11).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 _ORDER = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, ORDERED + 1)], dtype=np.uint64)
@@ -139,34 +139,35 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _centres_in_memory(table: pa.Table) -> pa.Table:
-    """Candidates within keys of few nodes. The centre is the node that agrees with most others in STRONG bands; it is a pair with each node that it agrees with in
-    AGREE, and leaves with those that it agrees with in STRONG; the rest go on until no two of them agree. So a group of copies is
-    a star about its original, and nodes that merely share a passage are told apart without a pair."""
-    key, node, n = table.column("key").to_numpy(), table.column("node").to_pylist(), table.column("n").to_numpy()
-    marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    order = np.argsort(key, kind="stable")
-    found: set[tuple[bytes, bytes]] = set()
-    for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else ():
-        m, size = marks[group], n[group]
-        agree = np.zeros((len(group), len(group)), dtype=np.uint8)
-        for band in m.T:
-            agree += band[:, None] == band[None, :]
-        agree[np.minimum(size[:, None], size[None, :]) < SIMILARITY * np.maximum(size[:, None], size[None, :])] = 0
-        np.fill_diagonal(agree, 0)
-        agree[agree < AGREE] = 0
-        strong = agree >= STRONG
-        weight = strong.sum(axis=1).astype(np.int64) * (len(group) * BANDS + 1) + agree.sum(axis=1, dtype=np.int64)
-        while len(group) and (c := int(weight.argmax())) >= 0 and weight[c] > 0:
-            for j in np.flatnonzero(agree[c]).tolist():
-                x, y = node[group[c]], node[group[j]]
-                found.add((x, y) if x < y else (y, x))
-            gone = np.append(np.flatnonzero(strong[c]), c)
-            weight -= strong[:, gone].sum(axis=1) * (len(group) * BANDS + 1) + agree[:, gone].sum(axis=1, dtype=np.int64)
-            agree[gone] = agree[:, gone] = 0
-            strong[gone] = strong[:, gone] = False
-            weight[gone] = 0
-    return pa.table({"node": pa.array([f[0] for f in found], pa.binary()), "centre": pa.array([f[1] for f in found], pa.binary())})
+def _candidates(best: bool):
+    """Pairs of nodes of a unit that agree in AGREE bands and have not the same root: all of them, or with `best` of each node the one that it agrees with most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit, n = table.column("unit").to_numpy(), table.column("n").to_numpy()
+        node, root = (table.column(c).combine_chunks().dictionary_encode() for c in ("node", "root"))
+        code, roots = (x.indices.to_numpy().astype(np.int64) for x in (node, root))
+        marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        order = np.argsort(unit, kind="stable")
+        found = [np.zeros(0, np.int64)]
+        for group in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(order) else ():
+            m, size, of = marks[group], n[group], roots[group]
+            agree = np.zeros((len(group), len(group)), dtype=np.uint8)
+            for band in m.T:
+                agree += band[:, None] == band[None, :]
+            agree[np.minimum(size[:, None], size[None, :]) < SIMILARITY * np.maximum(size[:, None], size[None, :])] = 0
+            agree[of[:, None] == of[None, :]] = 0
+            agree[agree < AGREE] = 0
+            if best:
+                i, j = np.arange(len(group)), agree.argmax(axis=1)
+                i, j = i[agree[i, j] > 0], j[agree[i, j] > 0]
+            else:
+                i, j = np.nonzero(np.triu(agree))
+            x, y = code[group[i]], code[group[j]]
+            found.append(np.unique(np.minimum(x, y) * len(node.dictionary) + np.maximum(x, y)))
+        x, y = np.divmod(np.unique(np.concatenate(found)), max(1, len(node.dictionary)))
+        return pa.table({"node": node.dictionary.take(pa.array(x)), "centre": node.dictionary.take(pa.array(y))})
+
+    return run
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,6 +197,24 @@ def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return roots.select("node", "root")
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.where("ok").select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct()
+
+
+def _apart(scratch: Scratch, open_: DataFrame, roots: DataFrame) -> DataFrame:
+    """Units (unit, node, n, marks, root) in which each two nodes of a key whose roots differ meet. A key with one root has none. A large key is cut into blocks of
+    its most frequent root's nodes and blocks of the others; two blocks of the former need not meet."""
+    half = max(1, IN_MEMORY // 2)
+    roots = bounded(scratch.table(roots, "rooted"), 72)
+    rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted(open_.select("key", "node")).groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("all_"), F.count(F.lit(1)).alias("d")).where("d > 1")
+    keys = keys.select("key", "major", F.expr(f"if(all_ <= {IN_MEMORY}, 1L, ceil((all_ - most) / {half}))").alias("others"), F.expr(f"if(all_ <= {IN_MEMORY}, 0L, ceil(most / {half}))").alias("majors"))
+    met = rooted(open_.join(bounded(scratch.table(keys, "apart"), 72), "key")).withColumn("other", F.expr("majors = 0 OR root != major"))
+    met = met.withColumn("b", F.expr("if(other, pmod(xxhash64(node), others), others + pmod(xxhash64(node), greatest(majors, 1L)))"))
+    return scratch.table(met.select(F.explode(F.expr("transform(sequence(0L, if(other, others + majors, others) - 1L), o -> xxhash64(key, least(b, o), greatest(b, o)))")).alias("unit"), "node", "n", "marks", "root"), "units")
+
+
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node, class_id, n_links for every row: node is the digest of the text, class_id the least id of the class, n_links the verified links of the text to other texts.
 
@@ -211,33 +230,24 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     scratch.drop(made)
 
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"), F.expr("transform(bands, x -> cast(x & 32767 AS smallint))").alias("marks"))
-    shared = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    shared = bounded(scratch.table(shared, "shared"), 16)
+    shared = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = bounded(scratch.table(shared, "shared"), 24)
     open_ = scratch.table(keyed.join(shared, "key"), "open")
-    wanted = bounded(scratch.table(open_.select("node").distinct(), "wanted"), 40)
+    wanted = bounded(scratch.table(open_.groupBy("node").agg(F.sum(F.col("c") - 1).alias("w")), "wanted"), 48)
     held = rows.where("text IS NOT NULL").select("node", "text").join(wanted, "node", "left_semi")
     texts = scratch.table(held.mapInArrow(_shingles, "node binary, x binary").dropDuplicates(["node"]), "texts")
     edges = nodes.select("node", F.col("node").alias("centre"), F.lit(True).alias("ok")).limit(0)
-    while True:
-        # the centre of a key is its node of least hash, by one of a few hashes: keys of one group have few centres, but not all the same one
-        centres = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "marks"), F.struct(F.xxhash64(F.expr(f"pmod(key, {ORDERS})"), "node"), "node")).alias("c"))
-        centres = bounded(scratch.table(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.marks").alias("marks_c")), "centres"), 160)
-        pairs = scratch.table(open_.join(centres, "key").where("node != centre").withColumn("maybe", F.expr(f"least(n, m) >= {SIMILARITY} * greatest(n, m) AND aggregate(zip_with(marks, marks_c, (x, y) -> x = y), 0, (s, z) -> s + int(z)) >= {AGREE}")).drop("m", "marks_c"), "pairs")
-        edges = _verified(scratch, pairs.where("maybe").select("node", "centre"), edges, texts)
-        good = bounded(scratch.table(edges.where("ok").select("node", "centre"), "good"), 72)
-        # the centre leaves its key with those that it is similar to; a key with one node left has no pairs
-        left = scratch.table(pairs.join(good, ["node", "centre"], "left_anti").select("key", "node", "n", "marks"), "left")
-        again = scratch.table(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (F.col("c") > IN_MEMORY).alias("large")), "again")
-        rest = left.join(bounded(again, 16), "key")
-        small = scratch.table(rest.where("NOT large"), "small")
-        shards = max(1, -(-small.count() // SHARD_ROWS))
-        cand = small.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards}L)")).groupBy("shard").applyInArrow(_centres_in_memory, "node binary, centre binary")
+    # the centre of a key is its node that agrees with others in most bands: an original of many copies in all its keys
+    centres = open_.join(wanted, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "marks"), F.struct("w", "node")).alias("c"))
+    centres = bounded(scratch.table(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.marks").alias("marks_c")), "centres"), 160)
+    pairs = open_.join(centres, "key").where(f"node != centre AND least(n, m) >= {SIMILARITY} * greatest(n, m) AND aggregate(zip_with(marks, marks_c, (x, y) -> x = y), 0, (s, z) -> s + int(z)) >= {AGREE}")
+    edges = _verified(scratch, pairs.select("node", "centre"), edges, texts)
+    for best in (True, False):
+        rest = _apart(scratch, open_, _components(scratch, _links(edges)))
+        shards = max(1, -(-rest.count() // SHARD_ROWS))
+        cand = rest.withColumn("shard", F.expr(f"pmod(xxhash64(unit), {shards}L)")).groupBy("shard").applyInArrow(_candidates(best), "node binary, centre binary")
         edges = _verified(scratch, cand, edges, texts)
-        if not again.where("large").limit(1).count():
-            break
-        open_ = scratch.table(rest.where("large").drop("large"), "open")
-        scratch.drop(pairs, left)
-    links = scratch.table(edges.where("ok").select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct(), "links")
+    links = scratch.table(_links(edges), "links")
     roots = _components(scratch, links)
     degree = links.select("node").union(links.select("centre")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of = nodes.select("node", "least").join(roots, "node", "left").join(degree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

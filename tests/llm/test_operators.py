@@ -195,6 +195,35 @@ def test_large_keys_go_another_round(spark, monkeypatch):
     assert near.classes(spark, df).select("class_id").distinct().count() == len(set(brute.values()))
 
 
+def same_classes(spark, texts):
+    """The classes of texts, each with its own id, are those of brute force."""
+    rows = list(enumerate(texts))
+    of = {r["doc_id"]: r["class_id"] for r in near.classes(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    brute, least = brute_classes(rows), {}
+    for i, t in rows:
+        least[brute[t]] = min(i, least.get(brute[t], i))
+    return of == {i: least[brute[t]] for i, t in rows}
+
+
+@pytest.mark.parametrize("in_memory", [20])
+def test_stars_and_chains_of_near_copies_stay_whole(spark, monkeypatch, in_memory):
+    monkeypatch.setattr(near, "IN_MEMORY", in_memory)
+    rng = random.Random(8)
+    o = [f"o{i}" for i in range(304)]
+    star = [list(o)]
+    for k in range(110):  # words 35 apart: each copy is similar to o, copies hardly to each other
+        c = list(o)
+        for i in range(5 + rng.randrange(15), 300, 50):
+            c[i] = f"e{k}-{i}"
+        star.append(c)
+    chain = [[f"c{i}" for i in range(200)]]
+    for k in range(110):  # the window moves, so that only those near in the chain are similar
+        chain.append(chain[-1][18:] + [f"c{k}-{i}" for i in range(18)])
+    texts = [" ".join(x) for x in star + chain]
+    rng.shuffle(texts)
+    assert same_classes(spark, texts)
+
+
 # ------------------------------------------------------------------ 3
 def test_urls(spark):
     given = [
