@@ -4,7 +4,9 @@ Equal texts are one node. A node's five-word shingles are labelled with their oc
 ORDERED labelled shingles of least hash are taken in the order of the text, and their sequence is a band key. Nodes with a common key
 are candidates: those of a key are first compared with its best-connected node, its centre, then with their likeliest
 partners; what is left are the pairs of nodes that no verified pairs connect yet, and all of them are compared. So only pairs
-within a component are saved. A pair is verified by a banded alignment of the two shingle sequences; the classes are the connected components of the verified pairs.
+within a component are saved. A texts of fewer than SHORT shingles, for which bands are not sure, also meet by their rarest shingles: of two similar ones each holds a common one among
+its first n - ceil(0.8 n) + 1 in the order of document frequency. A
+pair is verified by a banded alignment of the two shingle sequences; the classes are the connected components of the verified pairs.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from .words import PLAIN, Words, mix, pieces
 
 #: A pair at the threshold has the same ORDERED minima in a band with probability 0.8^6 = 0.26, and in none of 40 bands with (1 - 0.26)^40 = 5e-6.
 SHINGLE, SIMILARITY, BANDS, ORDERED = 5, 0.8, 40, 6
-#: Bands that a candidate pair agrees in: at the threshold fewer have probability 8e-5.
+#: Bands that a candidate pair agrees in: at the threshold fewer have probability 8e-5, up to 1.3e-4 in texts of SHORT shingles.
 AGREE = 2
+#: Pairs whose smaller text has fewer shingles meet by a prefix filter, which loses none; the larger one has up to 5/4 as many.
+SHORT = 100
 #: Nodes of a key that are compared in one task's memory at most, SHARD_ROWS nodes a task; larger keys are cut into blocks, and each two of these compared.
 IN_MEMORY, SHARD_ROWS = 2000, 20_000
 _seeds = np.random.default_rng(11).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
@@ -100,13 +104,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, n = [], []
+        keys, n, few = [], [], []
         for _, _, data, offsets in pieces(b.column("text")):
             for x in labelled_shingles(Words(data, offsets, PLAIN)):
                 n.append(len(x))
                 keys.append(sketch(x).view(np.int64) if len(x) else None)
+                few.append(x.view(np.int64) if 0 < len(x) and 4 * len(x) < 5 * SHORT else None)
         flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([0 if k is None else BANDS for k in keys])]), pa.int32()), pa.array(np.concatenate([k for k in keys if k is not None]) if any(k is not None for k in keys) else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(n, pa.int32()), flat], ["doc_id", "node", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(n, pa.int32()), flat, pa.array(few, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands", "few"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +145,14 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 def _candidates(best: bool):
-    """Pairs of nodes of a unit that agree in AGREE bands and have not the same root: all of them, or with `best` of each node the one that it agrees with most."""
+    """Pairs of nodes of a unit that agree in AGREE bands, or have a common shingle of their prefixes, and have not the same root: all of them, or with `best` of each node the one that it agrees with most."""
 
     def run(table: pa.Table) -> pa.Table:
         unit, n = table.column("unit").to_numpy(), table.column("n").to_numpy()
         node, root = (table.column(c).combine_chunks().dictionary_encode() for c in ("node", "root"))
         code, roots = (x.indices.to_numpy().astype(np.int64) for x in (node, root))
         marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sure = table.column("sure").to_numpy()
         order = np.argsort(unit, kind="stable")
         found = [np.zeros(0, np.int64)]
         for group in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(order) else ():
@@ -154,6 +160,8 @@ def _candidates(best: bool):
             agree = np.zeros((len(group), len(group)), dtype=np.uint8)
             for band in m.T:
                 agree += band[:, None] == band[None, :]
+            if sure[group[0]]:
+                np.maximum(agree, AGREE, out=agree)
             agree[np.minimum(size[:, None], size[None, :]) < SIMILARITY * np.maximum(size[:, None], size[None, :])] = 0
             agree[of[:, None] == of[None, :]] = 0
             agree[agree < AGREE] = 0
@@ -197,12 +205,23 @@ def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return roots.select("node", "root")
 
 
+def _prefixes(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """(node, key) of the texts with `few`: the first shingles in the order of document frequency, without those of one text alone, as keys."""
+    few = nodes.where("few IS NOT NULL").select("node", "n", F.explode("few").alias("t"))
+    often = bounded(scratch.table(few.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often"), 24)
+    held = few.join(often, "t").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts"))
+    # a text has n - size(ts) shingles of its own alone, which come first and meet nothing
+    room = "greatest(0, n - (4 * n + 4) div 5 + 1 - (n - size(ts)))"
+    keys = held.select("node", F.explode(F.expr(f"transform(slice(ts, 1, int({room})), s -> xxhash64('few', s.t))")).alias("key"))
+    return scratch.table(keys, "prefixes")
+
+
 def _links(edges: DataFrame) -> DataFrame:
     return edges.where("ok").select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct()
 
 
 def _apart(scratch: Scratch, open_: DataFrame, roots: DataFrame) -> DataFrame:
-    """Units (unit, node, n, marks, root) in which each two nodes of a key whose roots differ meet. A key with one root has none. A large key is cut into blocks of
+    """Units (unit, node, n, marks, sure, root) in which each two nodes of a key whose roots differ meet. A key with one root has none. A large key is cut into blocks of
     its most frequent root's nodes and blocks of the others; two blocks of the former need not meet."""
     half = max(1, IN_MEMORY // 2)
     roots = bounded(scratch.table(roots, "rooted"), 72)
@@ -212,7 +231,7 @@ def _apart(scratch: Scratch, open_: DataFrame, roots: DataFrame) -> DataFrame:
     keys = keys.select("key", "major", F.expr(f"if(all_ <= {IN_MEMORY}, 1L, ceil((all_ - most) / {half}))").alias("others"), F.expr(f"if(all_ <= {IN_MEMORY}, 0L, ceil(most / {half}))").alias("majors"))
     met = rooted(open_.join(bounded(scratch.table(keys, "apart"), 72), "key")).withColumn("other", F.expr("majors = 0 OR root != major"))
     met = met.withColumn("b", F.expr("if(other, pmod(xxhash64(node), others), others + pmod(xxhash64(node), greatest(majors, 1L)))"))
-    return scratch.table(met.select(F.explode(F.expr("transform(sequence(0L, if(other, others + majors, others) - 1L), o -> xxhash64(key, least(b, o), greatest(b, o)))")).alias("unit"), "node", "n", "marks", "root"), "units")
+    return scratch.table(met.select(F.explode(F.expr("transform(sequence(0L, if(other, others + majors, others) - 1L), o -> xxhash64(key, least(b, o), greatest(b, o)))")).alias("unit"), "node", "n", "marks", "sure", "root"), "units")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,13 +243,15 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("node"))
     kind = dict(rows.dtypes)["doc_id"]
-    made = scratch.table(rows.where("text IS NOT NULL").mapInArrow(_sketches, f"doc_id {kind}, node binary, n int, bands array<long>"), "sketches")
-    nodes = scratch.table(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    made = scratch.table(rows.where("text IS NOT NULL").mapInArrow(_sketches, f"doc_id {kind}, node binary, n int, bands array<long>, few array<long>"), "sketches")
+    nodes = scratch.table(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("few").alias("few")), "nodes")
     ids = scratch.table(made.select("doc_id", "node"), "ids")
     scratch.drop(made)
 
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"), F.expr("transform(bands, x -> cast(x & 32767 AS smallint))").alias("marks"))
-    shared = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    marks = F.expr("transform(bands, x -> cast(x & 32767 AS smallint))").alias("marks")
+    prefix = _prefixes(scratch, nodes)
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"), marks, F.lit(False).alias("sure")).union(nodes.select("node", "n", "bands").join(prefix, "node").select("node", "n", "key", marks, F.lit(True).alias("sure")))
+    shared = nodes.select(F.explode("bands").alias("key")).union(prefix.select("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = bounded(scratch.table(shared, "shared"), 24)
     open_ = scratch.table(keyed.join(shared, "key"), "open")
     wanted = bounded(scratch.table(open_.groupBy("node").agg(F.sum(F.col("c") - 1).alias("w")), "wanted"), 48)
@@ -240,7 +261,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     # the centre of a key is its node that agrees with others in most bands: an original of many copies in all its keys
     centres = open_.join(wanted, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "marks"), F.struct("w", "node")).alias("c"))
     centres = bounded(scratch.table(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.marks").alias("marks_c")), "centres"), 160)
-    pairs = open_.join(centres, "key").where(f"node != centre AND least(n, m) >= {SIMILARITY} * greatest(n, m) AND aggregate(zip_with(marks, marks_c, (x, y) -> x = y), 0, (s, z) -> s + int(z)) >= {AGREE}")
+    pairs = open_.join(centres, "key").where(f"node != centre AND least(n, m) >= {SIMILARITY} * greatest(n, m) AND (sure OR aggregate(zip_with(marks, marks_c, (x, y) -> x = y), 0, (s, z) -> s + int(z)) >= {AGREE})")
     edges = _verified(scratch, pairs.select("node", "centre"), edges, texts)
     for best in (True, False):
         rest = _apart(scratch, open_, _components(scratch, _links(edges)))

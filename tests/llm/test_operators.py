@@ -224,6 +224,18 @@ def test_stars_and_chains_of_near_copies_stay_whole(spark, monkeypatch, in_memor
     assert same_classes(spark, texts)
 
 
+def test_short_similar_texts_are_candidates(spark):
+    texts = []
+    for k in range(12):  # a word more at an end: 4 and 5, 5 and 6, 8 and 10 shingles
+        for n, m in ((8, 9), (9, 10), (12, 14)):
+            w = [f"s{k}-{n}-{i}" for i in range(m)]
+            texts += [" ".join(w[:n]), " ".join(w)]
+    for k in range(60):  # 8 of 10 in common
+        w = [f"t{k}-{i}" for i in range(13)]
+        texts += [" ".join([*w, "x"]), " ".join([*w, "y"]), " ".join(["z", *w])]
+    assert same_classes(spark, texts)
+
+
 # ------------------------------------------------------------------ 3
 def test_urls(spark):
     given = [
