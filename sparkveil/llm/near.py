@@ -81,8 +81,7 @@ def aligned(a: np.ndarray, b: np.ndarray) -> int:
     Labelled shingles are distinct, so each common one is one match (i, j). A pair that is similar enough leaves at most
     (1 - s) / (1 + s) of both sequences unmatched, and no match of its alignment lies further than that off the diagonal."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = (1 - SIMILARITY) / (1 + SIMILARITY) * (len(a) + len(b))
-    near = np.abs(i - j) <= band
+    near = 9 * np.abs(i - j) <= len(a) + len(b)  # (1 - s) / (1 + s) = 1/9, in whole numbers
     j = j[near][np.argsort(i[near])]
     if len(j) < 2 or (np.diff(j) > 0).all():
         return len(j)

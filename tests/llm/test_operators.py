@@ -195,6 +195,12 @@ def test_large_keys_go_another_round(spark, monkeypatch):
     assert near.classes(spark, df).select("class_id").distinct().count() == len(set(brute.values()))
 
 
+def test_similarity_at_the_threshold_with_the_insert_in_front():
+    for k in range(1, 500):
+        b = np.arange(5 * k, dtype=np.uint64)
+        assert near.similarity(b[k:], b) == near.similarity(b, b[k:]) == 0.8
+
+
 def same_classes(spark, texts):
     """The classes of texts, each with its own id, are those of brute force."""
     rows = list(enumerate(texts))
