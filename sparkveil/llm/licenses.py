@@ -2,12 +2,14 @@
 
 Words unique to both the text and a template are anchors; their longest increasing run is the skeleton of the alignment, and the
 gaps between its anchors are aligned in the same way, until no gap has a word unique to both. Coverage is the share of the
-template's words that are aligned. A text is aligned around those words of a template of which one must be there.
+template's words that are aligned. A text is aligned around those words of a template of which one must be there; where a template
+stands more than once, its words are not unique, and windows of about its length are aligned instead.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +88,7 @@ class Scanner:
     of its longest words, which are rare in most texts, are its gate: a text is aligned only around them."""
 
     def __init__(self, templates: dict[str, str]):
-        self.words, self.need = {}, {}
+        self.words, self.need, self.gate = {}, {}, {}  # gate: the places of a template's gate words
         gates: dict[int, list[str]] = {}
         for name, text in templates.items():
             data = np.frombuffer(text.encode(), np.uint8)
@@ -94,8 +96,10 @@ class Scanner:
             t = self.words[name] = w.hash.tolist()
             need = self.need[name] = -(-int(COVERAGE * 1000 * len(t)) // 1000)
             rare = sorted(range(len(t)), key=lambda i: (w.start[i] - w.end[i], i))[: len(t) - need + 1]  # noqa: B023
+            self.gate[name] = {}
             for h in {t[i] for i in rare}:
                 gates.setdefault(h, []).append(name)
+                self.gate[name][h] = [i for i, x in enumerate(t) if x == h]
         self.gates = gates
         self.known = np.array(sorted(gates), dtype=np.uint64)
         self.maybe = np.zeros(1 << 16, dtype=bool)
@@ -106,9 +110,37 @@ class Scanner:
         i = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
         return i[np.isin(h[i], self.known)]
 
+    def stretches(self, name: str, part: list[int]) -> list[tuple[int, int, int]]:
+        """(words aligned, first word, end word) of all separate stretches of part that cover the template."""
+        t, need, gate = self.words[name], self.need[name], self.gate[name]
+        most = Counter(t)
+        enough = lambda words: sum(min(k, most[w]) for w, k in Counter(words).items() if w in most) >= need
+        out, todo = [], [(0, len(part))]
+        while todo:
+            x, y = todo.pop()
+            if y - x < need or not enough(part[x:y]):
+                continue
+            al = patience(part[x:y], t)
+            if len(al) >= need and al[-1][0] + 1 - al[0][0] <= SLACK * len(t):
+                best = (len(al), x + al[0][0], x + al[-1][0] + 1)
+            else:  # it may stand there more than once
+                seen = [(len(al), x + al[0][0], x + al[-1][0] + 1)] if len(al) >= need else []
+                windows = {(max(x, p - i - more), min(y, p - i + len(t) + more)) for p in range(x, y) for i in gate.get(part[p], ()) for more in (0, len(t) // 4, len(t))}
+                for u, v in sorted(windows):
+                    if v - u >= need and enough(part[u:v]):
+                        al = patience(part[u:v], t)
+                        if len(al) >= need:
+                            seen.append((len(al), u + al[0][0], u + al[-1][0] + 1))
+                if not seen:
+                    continue
+                best = min(seen, key=lambda f: (-f[0], f[2] - f[1], f[1]))
+            out.append(best)
+            todo += [(x, best[1]), (best[2], y)]
+        return out
+
     def scan(self, h: np.ndarray, marked: np.ndarray) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, end word) of one text: the best stretch of each template that is covered enough, templates whose
-        stretch overlaps that of a better one left out."""
+        """(license, coverage, first word, end word) of one text: all stretches of each template that are covered enough, those left out that
+        overlap a better one."""
         hits: dict[str, list[int]] = {}
         for p, word in zip(marked.tolist(), h[marked].tolist(), strict=True):
             for name in self.gates[word]:
@@ -123,22 +155,21 @@ class Scanner:
                     spans[-1][1] = p + reach
                 else:
                     spans.append([p - reach, p + reach])
-            best = None
             for x, y in spans:
                 x, part = max(0, x), h[max(0, x) : y].tolist()
-                if sum(w in own for w in part) < need:
-                    continue
-                al = patience(part, t)
-                if len(al) >= need and (best is None or len(al) / len(t) > best[1]):
-                    best = (name, len(al) / len(t), x + al[0][0], x + al[-1][0] + 1)
-            if best:
-                found.append(best)
+                if sum(w in own for w in part) >= need:
+                    found += [(name, m / len(t), x + u, x + v) for m, u, v in self.stretches(name, part)]
         # of templates that share words, the one with most of them aligned, then the one covered best
-        found.sort(key=lambda f: (-round(f[1] * len(self.words[f[0]])), -f[1], f[0]))
+        found.sort(key=lambda f: (-round(f[1] * len(self.words[f[0]])), -f[1], f[0], f[3] - f[2], f[2]))
         kept: list[tuple[str, float, int, int]] = []
+        starts: list[int] = []  # of kept, in the order of the text; they don't overlap
+        ends: list[int] = []
         for f in found:
-            if not any(f[2] < k[3] and k[2] < f[3] for k in kept):
+            k = bisect_left(ends, f[2] + 1)
+            if k == len(starts) or starts[k] >= f[3]:
                 kept.append(f)
+                starts.insert(k, f[2])
+                ends.insert(k, f[3])
         return kept
 
 

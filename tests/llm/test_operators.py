@@ -337,6 +337,18 @@ def test_patience_and_licenses(spark):
     assert [x for d, _, x in got if d == 6 and x.startswith("GPL")] == ["GPL-3.0:20000:20012"]
 
 
+def test_repeated_licenses_are_all_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in licenses.TEMPLATES:
+        k = len(scanner.words[name])
+        for times, gap in ((2, 0), (2, 5), (2, 10), (3, 20), (2, 100), (9, 3)):
+            text = " ".join(["x"] * 30 + ([licenses.TEMPLATES[name]] + ["y"] * gap) * times + ["z"] * 30)
+            data = np.frombuffer(text.encode(), np.uint8)
+            h = words.Words(data, np.array([0, len(data)]), words.FOLDED).hash
+            got = sorted(scanner.scan(h, scanner.marked(h)), key=lambda f: f[2])
+            assert got == [(name, 1.0, 30 + i * (k + gap), 30 + i * (k + gap) + k) for i in range(times)], (name, times, gap)
+
+
 # ------------------------------------------------------------------ 6
 def test_language(spark, docs, tmp_path):
     rng = random.Random(6)
