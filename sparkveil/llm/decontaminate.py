@@ -1,14 +1,16 @@
 """Benchmark decontamination by a prefix-filtered set join (operator 9).
 
-Items are cut into windows of 8 words. A window is contained in a document only whole, so that its necessary prefix in the order
-of rarity is its rarest word, by counts over all documents. Documents are scanned for prefix words; each occurrence fixes the
-place where the window would lie, and windows that would begin before or end after the document (position and length bounds) are
-dropped; the rest are compared by hash and then word by word. The index of windows is sent to the executors in slices of bounded size.
+An item's windows are its runs of 8 words, or all its words if it has fewer. Windows are sets of shingles of 3 words, ordered by rarity,
+that is by their count over all documents. A document contains a window only with all its shingles, so that its necessary prefix is the
+one rarest shingle. Occurrences of prefix shingles in documents are joined with the table of prefixes; each tells the one place where a window would lie,
+places that begin before or end after the document are dropped (position and length bounds), and the words at the others are joined with the windows, word by word.
+
+Benchmark, windows and occurrences are tables, whatever their size. Only a filter of FILTER_BITS bits goes through the driver: it spares
+the join the shingles that surely are no prefix, and costs nothing but such shingles where it is too full.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,141 +18,130 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
-from .words import FOLDED, Words, pieces
+from .common import BROADCAST_BYTES, Scratch, bounded, small_batches
+from .words import FOLDED, Words, mix, pieces
 
-WINDOW, MIN_ITEMS = 8, 2
-#: Benchmark text that one slice of the index holds at most; more items take more slices, each a scan of the documents.
-SLICE_BYTES = 16 << 20
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WINDOW, SHINGLE, MIN_ITEMS = 8, 3, 2
+#: Words of a window from which the pipeline's stage takes a document as contaminated; a shorter whole item alone does not remove one.
+STAGE_WORDS = 4
+#: Bits of the filter, 2 MB.
+FILTER_BITS = 1 << 24
 _LOWER_BYTE = np.arange(256, dtype=np.uint8)
 _LOWER_BYTE[0x41:0x5B] += 32
+_FOUND = pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64()), ("lead", pa.int32()), ("words", pa.list_(pa.string()))]))
+
+
+def _grams(w: Words, n: int) -> np.ndarray:
+    """Hashes of n words, that of n = 1 not the word's own; they run over the ends of texts."""
+    return mix(w.grams(n) + np.uint64(n))
+
+
+def _strings(low: np.ndarray, w: Words, a: int, b: int) -> list[str]:
+    return [low[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, words, shingles) of the windows of items."""
+    for b in batches:
+        items, words, shingles = [], [], []
+        for i, _, data, offsets in pieces(b.column("text")):
+            w = Words(data, offsets, FOLDED)
+            low, grams = _LOWER_BYTE[w.data], [_grams(w, n) for n in range(1, SHINGLE + 1)]
+            for k in range(len(offsets) - 1):
+                first, last = int(w.first[k]), int(w.first[k + 1])
+                own = _strings(low, w, first, last)
+                n = min(WINDOW, last - first)
+                g = grams[min(SHINGLE, n) - 1] if n else None
+                for s in range(last - first - n + 1 if n else 0):
+                    items.append(b.column("item")[i + k].as_py())
+                    words.append(own[s : s + n])
+                    shingles.append(g[first + s : first + s + n - min(SHINGLE, n) + 1].view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(shingles, pa.list_(pa.int64()))], ["item", "words", "shingles"])
+
+
+def _filter(spark: SparkSession, hashes: DataFrame):
+    """A broadcast bit set of the column h, by its low bits. FILTER_BITS / 64 rows come to the driver at most."""
+    bit = F.expr(f"h & {FILTER_BITS - 1}L")
+    rows = hashes.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("v")).collect()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[[r["i"] for r in rows]] = [r["v"] for r in rows]
+    return spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+
 
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
 
-def item_windows(text: str | None, size: int = WINDOW) -> list[tuple[str, ...]]:
-    """Windows of an item; all its words if they are fewer; none without words."""
-    w = _WORD.findall((text or "").translate(_LOWER))
-    return [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    data = "\n".join(words).encode()
-    return Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), FOLDED).hash if words else np.zeros(0, np.uint64)
-
-
-class Index:
-    """Windows of some items by the hash of their rarest word."""
-
-    def __init__(self, items: list[tuple[str, list[tuple[str, ...]]]], counts: dict[int, int]):
-        by: dict[tuple[str, ...], set[str]] = {}
-        for item, windows in items:
-            for w in windows:
-                by.setdefault(w, set()).add(item)
-        self.windows = sorted(by)
-        self.items = [sorted(by[w]) for w in self.windows]
-        self.joined = [" ".join(w).encode() for w in self.windows]
-        self.length = np.array([len(w) for w in self.windows], dtype=np.int64)
-        vocab = sorted({x for w in self.windows for x in w})
-        code = dict(zip(vocab, word_hashes(vocab).tolist(), strict=True))
-        rows = []
-        for k, w in enumerate(self.windows):
-            at = min(range(len(w)), key=lambda i: (counts.get(code[w[i]], 0), w[i], i))
-            rows.append((code[w[at]], k, at))
-        rows.sort()
-        self.prefix, first = np.unique(np.array([r[0] for r in rows], dtype=np.uint64), return_index=True)
-        self.first = np.append(first, len(rows))
-        self.window, self.at = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        self.hash = np.zeros(len(self.windows), dtype=np.uint64)
-        for n in set(self.length.tolist()):
-            ks = np.flatnonzero(self.length == n)
-            text = "\n".join(" ".join(self.windows[k]) for k in ks).encode()
-            self.hash[ks] = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), FOLDED).grams(n)[::n]
-        self.maybe = np.zeros(1 << 16, dtype=bool)
-        self.maybe[(self.prefix & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def scan(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(start word, window) of every occurrence in the texts of w."""
-        none = np.zeros(0, np.int64)
-        if not len(self.windows) or not len(w.hash):
-            return none, none
-        i = np.flatnonzero(self.maybe[(w.hash & np.uint64(0xFFFF)).astype(np.int64)])
-        p = np.minimum(np.searchsorted(self.prefix, w.hash[i]), len(self.prefix) - 1)
-        same = self.prefix[p] == w.hash[i]
-        i, p = i[same], p[same]
-        many = self.first[p + 1] - self.first[p]
-        i = np.repeat(i, many)
-        entry = np.repeat(self.first[p], many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-        k = self.window[entry]
-        start = i - self.at[entry]
-        doc = np.searchsorted(w.first, i, side="right") - 1
-        fits = (start >= w.first[doc]) & (start + self.length[k] <= w.first[doc + 1])
-        start, k = start[fits], k[fits]
-        equal = np.zeros(len(k), dtype=bool)
-        for n in np.unique(self.length[k]):
-            mine = np.flatnonzero(self.length[k] == n)
-            equal[mine] = w.grams(int(n))[start[mine]] == self.hash[k[mine]]
-        start, k = start[equal], k[equal]
-        low = _LOWER_BYTE[w.data]
-        exact = [b" ".join(low[w.start[j] : w.end[j]].tobytes() for j in range(s, s + self.length[x])) == self.joined[x] for s, x in zip(start.tolist(), k.tolist(), strict=True)]
-        exact = np.array(exact, dtype=bool)
-        return start[exact], k[exact]
-
-
-def _find(index: Index, text: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str]]]:
-    """(row, words, hit runs, items) of each row of a batch."""
-    for i, _, data, offsets in pieces(text):
-        w = Words(data, offsets, FOLDED)
-        start, k = index.scan(w)
-        order = np.lexsort((k, start))
-        start, k = start[order], k[order]
-        doc = np.searchsorted(w.first, start, side="right") - 1
-        cut = np.searchsorted(doc, np.arange(len(offsets)))
-        for d in range(len(offsets) - 1):
-            runs: list[list[int]] = []
-            items: set[str] = set()
-            for s, x in zip(start[cut[d] : cut[d + 1]].tolist(), k[cut[d] : cut[d + 1]].tolist(), strict=True):
-                s -= int(w.first[d])
-                e = s + int(index.length[x])
-                items.update(index.items[x])
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e)
-                else:
-                    runs.append([s, e])
-            yield i + d, int(w.first[d + 1] - w.first[d]), [tuple(r) for r in runs], items
-
-
-def indexes(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> list:
-    """Broadcast indexes of the items, SLICE_BYTES of text each; words are counted over all documents."""
+
+def _join_sized(left: DataFrame, small: DataFrame, cost, on, how: str = "inner") -> DataFrame:
+    """The join, small being broadcast if its rows' bytes, as the expression cost counts them, are few; else shuffled."""
+    held = small.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
+    return left.join(F.broadcast(small) if held <= BROADCAST_BYTES else small, on, how)
+
+
+def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, items): the columns `keep` of every document with digest of its text and n_words; (digest, a, b, w) of every occurrence of a window w, from word a to word b; (w, item)."""
     small_batches(spark)
-    slices: list[list[tuple[str, list[tuple[str, ...]]]]] = [[]]
-    held = 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        if held > SLICE_BYTES:
-            slices.append([])
-            held = 0
-        slices[-1].append((r["i"], item_windows(r["text"])))
-        held += len(r["text"])
-    out = []
-    for items in slices:
-        vocab = np.unique(word_hashes(sorted({x for _, ws in items for w in ws for x in w})))
-
-        def count(batches: Iterator[pa.RecordBatch], vocab=vocab) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(vocab) + 1, dtype=np.int64)
-            for b in batches:
-                for _, _, data, offsets in pieces(b.column(0)):
-                    h = Words(data, offsets, FOLDED).hash
-                    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-                    total += np.bincount(np.where(vocab[at] == h, at, len(vocab)), minlength=len(total))
-            seen = np.flatnonzero(total[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(vocab[seen].view(np.int64)), pa.array(total[seen])], ["h", "n"])
-
-        counts = {}
-        if len(vocab):
-            rows = docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()  # words of a slice at most
-            counts = {r["h"] % 2**64: r["n"] for r in rows}
-        out.append(spark.sparkContext.broadcast(Index(items, counts)))
-    return out
+    given = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
+    made = scratch.table(given.mapInArrow(_windows, "item string, words array<string>, shingles array<long>").withColumn("w", F.expr("unhex(md5(array_join(words, ' ')))")), "windows")
+    items = scratch.table(made.select("w", "item").distinct(), "items")
+    windows = scratch.table(made.groupBy("w").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles")), "distinct")
+    scratch.drop(made)
+    shingles = scratch.table(windows.select("w", F.size("words").alias("n"), F.posexplode("shingles").alias("at", "h")), "shingles")
+    sizes = sorted(r[0] for r in shingles.select(F.expr(f"least({SHINGLE}, n)")).distinct().collect())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    some = _filter(spark, shingles)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in pieces(b.column(0)):
+                w = Words(data, offsets, FOLDED)
+                for n in sizes:
+                    g = _grams(w, n)
+                    i = _maybe(some.value, g)
+                    h, c = np.unique(g[i[w.within(n)[i]]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    often = scratch.table(docs.select(text.alias("t")).mapInArrow(count, "h long, c long").join(bounded(scratch.table(shingles.select("h").distinct(), "known"), 16), "h", "left_semi").groupBy("h").agg(F.sum("c").alias("c")), "often")
+    # a window with a shingle that no document has occurs nowhere; of the others the rarest shingle is the prefix
+    rarity = shingles.join(often, "h", "left").groupBy("w").agg(F.min(F.struct("c", "at", "h")).alias("p"), F.first("n").alias("n"), F.bool_or(F.col("c").isNull()).alias("absent"))
+    prefix = scratch.table(rarity.where("NOT absent").select("w", "n", "p.at", "p.h"), "prefix")
+    places = scratch.table(prefix.select("h", "n", "at").distinct(), "places")
+    rare = _filter(spark, places.select("h").distinct())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_words, rows, found = [], [], []
+            for i, _, data, offsets in pieces(b.column("text_")):
+                w = Words(data, offsets, FOLDED)
+                n_words.append(np.diff(w.first))
+                low = None
+                for n in sizes:
+                    g = _grams(w, n)
+                    at = _maybe(rare.value, g)
+                    at = at[w.within(n)[at]]
+                    if len(at) and low is None:
+                        low = _LOWER_BYTE[w.data]
+                    of = np.searchsorted(w.first, at, side="right") - 1
+                    for p, d, h in zip(at.tolist(), of.tolist(), g[at].view(np.int64).tolist(), strict=True):
+                        first, last = int(w.first[d]), int(w.first[d + 1])
+                        a = max(first, p - WINDOW + 1)
+                        rows.append(i + d)
+                        found.append({"pos": p - first, "h": h, "lead": p - a, "words": _strings(low, w, a, min(last, p + WINDOW))})
+            order = np.argsort(rows, kind="stable") if rows else []
+            cut = np.searchsorted(np.asarray(rows, dtype=np.int64)[order], np.arange(b.num_rows + 1)) if rows else np.zeros(b.num_rows + 1, np.int64)
+            flat = pa.array([found[k] for k in order], _FOUND.value_type)
+            kept = [(n, b.column(n)) for n in b.schema.names if n != "text_"]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(np.concatenate(n_words) if n_words else np.zeros(0, np.int64), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), flat)], [n for n, _ in kept] + ["n_words", "found"])
+
+    taken = docs.select(*keep, F.unhex(F.md5(text)).alias("digest"), text.alias("text_"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema if f.name != "text_"] + ["n_words long, found array<struct<pos:int,h:long,lead:int,words:array<string>>>"])
+    rows = scratch.table(taken.mapInArrow(find, schema), "rows")
+    seen = rows.where("size(found) > 0").select("digest", "n_words", F.explode("found").alias("f")).select("digest", "n_words", "f.*").join(bounded(places, 32), "h")
+    seen = seen.where("at <= lead AND pos - at + n <= n_words").selectExpr("digest", "pos - at AS a", "pos - at + n AS b", "slice(words, lead - at + 1, n) AS words")
+    seen = seen.withColumn("w", F.expr("unhex(md5(array_join(words, ' ')))"))
+    exact = _join_sized(seen.alias("s"), windows.join(prefix.select("w"), "w", "left_semi").select("w", "words").alias("x"), F.expr("64 + 24 * size(words)"), F.expr("s.w = x.w AND s.words = x.words"))
+    return rows, scratch.table(exact.select("digest", "a", "b", "s.w").distinct(), "hits"), items
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,53 +150,39 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: s
     Nulls: a null text has no words and no hits; items with a null id or text, or without words, have no windows; a null
     doc_id is kept. Equal items are items of their own; equal ids are one item. Repeated rows are reported each. Empty tables: no documents, no rows; no items, no hits.
     Long texts are scanned whole; other columns are not read."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    slices = indexes(spark, rows, benchmark)
-    if len(slices) > 1:  # the same rows are scanned once a slice
-        rows = Scratch(spark, "decontaminate").table(rows.withColumn("row_", F.monotonically_increasing_id()), "rows")
-    else:
-        rows = rows.withColumn("row_", F.lit(0).cast("long"))
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def scan(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = list(_find(index.value, b.column("text")))
-                yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), b.column("row_"), pa.array([f[1] for f in found], pa.int64()),
-                    pa.array([[{"a": a, "b": e} for a, e in f[2]] for f in found], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(f[3]) for f in found], pa.list_(pa.string())),
-                ], ["doc_id", "row_", "n_words", "runs", "items"])
-
-        return rows.mapInArrow(run, f"doc_id {kind}, row_ long, n_words long, runs array<struct<a:long,b:long>>, items array<string>")
-
-    out = scan(slices[0])
-    for index in slices[1:]:
-        out = out.unionByName(scan(index))
-    if len(slices) > 1:
-        out = out.groupBy("row_").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        step = "aggregate(runs, cast(array() AS array<struct<a:bigint,b:bigint>>), (s, r) -> CASE WHEN size(s) > 0 AND s[size(s) - 1].b >= r.a THEN concat(slice(s, 1, size(s) - 1), array(named_struct('a', s[size(s) - 1].a, 'b', greatest(s[size(s) - 1].b, r.b)))) ELSE array_append(s, r) END)"
-        out = out.withColumn("runs", F.expr(step))
-    hit = F.expr("aggregate(runs, 0L, (s, r) -> s + r.b - r.a)")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= MIN_ITEMS).alias("contaminated"), "runs")
+    scratch = Scratch(spark, "decontaminate")
+    rows, found, items = hits(spark, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, scratch, keep=("doc_id",))
+    # runs of hit words: a place that no earlier one of the text reaches begins one
+    reach = found.select("digest", "a", "b").distinct().withColumn("far", F.expr("max(b) OVER (PARTITION BY digest ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+    run = reach.withColumn("run", F.expr("sum(CASE WHEN far >= a THEN 0 ELSE 1 END) OVER (PARTITION BY digest ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    run = run.groupBy("digest", "run").agg(F.min("a").cast("long").alias("a"), F.max("b").cast("long").alias("b")).groupBy("digest").agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    own = found.select("digest", "w").distinct().join(items, "w").groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("its"))
+    got = own.select("digest", F.size("its").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "its"), 256).alias("sha")).join(run, "digest")
+    got = scratch.table(got.withColumnRenamed("digest", "g_"), "got")
+    out = _join_sized(rows.drop("found"), got, F.expr("200 + 40 * size(runs)"), F.col("digest") == F.col("g_"), "left")
+    none = F.expr("cast(array() AS array<struct<a:bigint,b:bigint>>)")
+    n = F.coalesce("n_items", F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), n.alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n >= MIN_ITEMS).alias("contaminated"), F.coalesce("runs", none).alias("runs"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("runs")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold windows of fewer than two items."""
-    slices = indexes(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """The rows of docs whose text holds no window, of at least `words` words, of any item; all columns as they are.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items: list[set[str]] = [set() for _ in range(b.num_rows)]
-            for index in slices:
-                for row, _, _, found in _find(index.value, b.column("text")):
-                    items[row] |= found
-            yield b.filter(pa.array([len(x) < MIN_ITEMS for x in items], pa.bool_()))
+    Nulls: a null text holds none and stays. Equal texts, also of repeated rows, stay or go together. Empty tables: no documents, no rows; no
+    items, all rows. Other columns are not read, whatever their names. Long texts are scanned whole."""
+    scratch = Scratch(spark, "clean")
+    _, found, _ = hits(spark, docs.select("text"), benchmark, scratch)
+    gone = scratch.table(found.where(F.col("b") - F.col("a") >= words).select("digest").distinct(), "gone")
+    return docs.join(bounded(gone, 48), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == gone["digest"], "left_anti")
 
-    return docs.mapInArrow(keep, docs.schema)
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: clean() with the benchmark table."""
+    return clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 ORACLE = r"""

@@ -457,9 +457,10 @@ def brute_hits(rows, items):
     return out
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 24, 30])
-def test_decontamination(spark, docs, rows, none, slice_bytes, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SLICE_BYTES", slice_bytes)
+@pytest.mark.parametrize("bits,broadcast", [(1 << 24, 1 << 25), (64, 0)])
+def test_decontamination(spark, docs, rows, none, bits, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)  # a full filter spares nothing
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     short = rows[:40] + rows[-6:-1]
     texts = [t for _, t, *_ in short if t and len(t) > 100]
     items = [(1, texts[0][3:90]), (2, texts[1][10:60].upper()), (10, "W1"), (11, texts[0][20:95]), (12, ""), (13, None), (None, texts[2]), (14, "..."), (2, "w3 w4"), (15, "É ß"), (16, texts[0][3:90])]
@@ -471,6 +472,28 @@ def test_decontamination(spark, docs, rows, none, slice_bytes, monkeypatch):
     assert decontaminate.report(spark, none, bench).count() == 0
 
 
+def test_documents_with_one_item_each_are_removed(spark):
+    rng = random.Random(12)
+    sent = lambda p, n: " ".join(f"{p}{rng.randint(0, 10**6)}" for _ in range(n))
+    items = [(k, sent("q", rng.choice([5, 8, 20, 40]))) for k in range(12)] + [(50, "and")]
+    docs, dirty = [], set()
+    for k in range(60):
+        text = sent("d", rng.choice([3, 50, 300]))
+        if k % 3 == 0:  # one window of one item
+            w = items[k % 12][1].split()
+            at = rng.randint(0, max(0, len(w) - 8))
+            text = f"{text} {' '.join(w[at : at + 8])} and {sent('e', 9)}"
+            dirty.add(k)
+        elif k % 3 == 1:  # seven of its words, or a word that is an item
+            text = f"{text} {' '.join(items[3][1].split()[:7]) if len(items[3][1].split()) >= 8 else ''} and more"
+        docs.append((k, text, "x", 1, k))
+    docs += [(100, None, None, None, None), (101, "", "x", 1, 1), (0, docs[0][1], "x", 1, 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, digest string, n_words int, w int").repartition(3)
+    kept = decontaminate.clean(spark, df, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == df.columns
+    assert multiset(kept) == Counter(d for d in docs if d[0] not in dirty)
+
+
 # ------------------------------------------------------------------ 10
 def test_media(spark, docs, rows, none):
     def run(df):
