@@ -49,3 +49,21 @@ def test_pipeline(spark):
     assert abs(after.agg(words).first()[0] - 1.5 * before.agg(words).first()[0]) <= 20
     assert "shard" in docs.columns and docs.select(F.max("shard")).first()[0] <= 15
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_url_trees_tell_rules_apart_on_other_hosts(spark):
+    """Trees fitted on four fifths of the hosts rank the labelled URLs of the other fifth, and give URLs without a rule different scores."""
+    from sparkveil.llm import urls
+
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    rule, verdict = urls.fitting_rule(F.col("host"), F.col("path"))
+    labelled = pages.withColumn("v", verdict).where("v IS NOT NULL").withColumn("block", (F.col("v") == "block").cast("int")).withColumn("held", F.crc32(F.col("host").cast("binary")) % 5 == 0)
+    model = urls.fit(spark, labelled.where("NOT held").select("url", "host", "path", "block"))
+    got = urls.judge(spark, pages.select("page_id", "url"), model=model).cache()
+    rows = got.join(labelled.where("held").select("page_id", "block"), "page_id").select("score", "block").collect()
+    bad, good = [r["score"] for r in rows if r["block"]], [r["score"] for r in rows if not r["block"]]
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    free = got.where("rule IS NULL").select("score", "verdict").collect()
+    print("held-out AUC", auc, len(bad), len(good), "blocked without a rule", sum(r["verdict"] == "block" for r in free), "of", len(free), "scores", len({r["score"] for r in free}))
+    assert auc > 0.9
+    assert len({r["score"] for r in free}) > 2 and {r["verdict"] for r in free} == {"allow", "block"}
