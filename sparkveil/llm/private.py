@@ -1,9 +1,9 @@
 """Personal data (operator 4): rules for four kinds, and a character-level BiLSTM-CRF that adds spans in forms that the rules miss.
 
-The network is trained on windows around rule spans of a bounded sample, and on rewritten forms of those spans. A text is covered by
-overlapping windows; a span of any kind holds a digit or an @, so that windows without one are decoded as empty without running the network. Decoded spans are
-reconciled over the whole text: those cut by a window's edge are left to the neighbour, rule spans stay, an added span must
-overlap none and hold what its kind needs, and of two that overlap the one of more windows, then the longer, then the earlier stays.
+The network is trained on windows around rule spans of a bounded sample, and on those spans rewritten into other forms. A text is covered by
+overlapping windows; those without a digit, an @ or an opening bracket are all outside, unless a span runs into them from a neighbour. Windows are reconciled
+into one sequence of tags for the whole text: each position has its tag from the window that it lies deepest in, and a span goes on across windows, however
+long it is. Rule spans stay; an added span must overlap none and hold what its kind needs.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from .common import Scratch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
-SIZE, STEP, EDGE = 96, 48, 2
+SIZE, STEP = 96, 48
 #: Documents that windows are looked for in; windows fitted on at most, those of least hash; sequences decoded at a time; spans of one text that are fitted on.
-SAMPLE_DOCS, TRAIN_WINDOWS, BATCH, PER_TEXT = 20_000, 480, 512, 16
+SAMPLE_DOCS, TRAIN_WINDOWS, BATCH, PER_TEXT = 20_000, 2400, 512, 16
+_TRIGGER = re.compile(r"[0-9@(\[]")
+_AT, _DOT = re.compile(r" ?[(\[]at[)\]] ?| @ "), re.compile(r" ?[(\[]dot[)\]] ?")
 
 # fixed values: the patterns of the contract, in forms without needless backtracking
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,37 +89,41 @@ def _tagged(text: str, spans: list[tuple[str, int, int]], at: int) -> tuple[str,
     return text[at : at + SIZE].ljust(SIZE, "\n"), tags
 
 
-def rewritten(kind: str, value: str, turn: int) -> str:
-    """The same datum in another form."""
+def rewritten(kind: str, value: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Other forms of the same datum, with where it stands in each."""
     d = _digits(value)
     if kind == "phone":
-        local = d[-10:]
-        return (d, f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"00{d[: len(d) - 10]} {local[:3]} {local[3:6]} {local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}")[1 + turn % 4]
-    if kind == "card":
-        return (" ", ".", "/")[turn % 3].join(d[i : i + 4] for i in range(0, len(d), 4))
-    return value
+        code, a, b, c = d[:-10], d[-10:-7], d[-7:-4], d[-4:]
+        forms = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{code} {a} {b} {c}", f"{a} {b} {c}"] if len(d) > 10 else []
+    elif kind == "card":
+        forms = [x.join(d[i : i + 4] for i in range(0, len(d), 4)) for x in "./"]
+    elif kind == "ip":
+        forms = [value.replace(".", x) for x in ("[.]", "(.)", " . ")]
+    else:
+        user, _, host = value.partition("@")
+        forms = [f"{user}(at){host}", f"{user} [at] {host.replace('.', ' [dot] ')}", f"{user} @ {host}"]
+    out = [(f, [(0, len(f))]) for f in forms]
+    # two in a row are one run of digits to the rules, too long for a card
+    return [*out, (f"{value} {value}", [(0, len(value)), (len(value) + 1, 2 * len(value) + 1)])] if kind == "card" else out
 
 
 def training_windows(text: str) -> list[tuple[str, list[int]]]:
-    """Windows around rule spans, PER_TEXT of them at most and evenly over the text, as they are and rewritten, and around digits that no rule takes."""
+    """Windows around rule spans, PER_TEXT of them at most and evenly over the text, as they are and in all other forms, and around digits that no rule takes."""
     all_ = sorted(base_spans(text), key=lambda s: s[1:])
     starts, reach = [s[1] for s in all_], max((s[2] - s[1] for s in all_), default=0)
     out = []
     for n in range(0, len(all_), max(1, -(-len(all_) // PER_TEXT))):
         kind, a, b = all_[n]
-        if b - a > SIZE // 2:
-            continue
-        spans = all_[bisect_left(starts, a - SIZE - reach) : bisect_right(starts, b + SIZE)]
-        at = max(0, a - 8 - (a * 7 + n) % (SIZE - (b - a) - 8))
-        out.append(_tagged(text, spans, at))
-        new = rewritten(kind, text[a:b], a + n)
-        if new != text[a:b] and len(new) <= SIZE // 2:
-            lead, tail = text[max(0, a - 40) : a], text[b : b + 40]
-            out.append(_tagged(lead + new + tail, [(kind, len(lead), len(lead) + len(new))], 0))
-    for m in itertools.islice(re.finditer(r"[0-9]+", text), 3):
-        spans = all_[: bisect_right(starts, m.start() + SIZE)]
-        if not any(a < m.end() and m.start() < b for _, a, b in spans):
-            out.append(_tagged(text, spans, max(0, m.start() - 30)))
+        for turn, (new, spans) in enumerate([(text[a:b], []), *rewritten(kind, text[a:b])]):
+            shift = (a * 7 + n * 3 + turn * 29) % (SIZE - 16)  # the span may be cut by the window
+            if not turn:
+                out.append(_tagged(text, all_[bisect_left(starts, a - SIZE - reach) : bisect_right(starts, b + SIZE)], max(0, a - shift)))
+            elif not any(x < b + SIZE and a - SIZE < y for k, (_, x, y) in enumerate(all_) if k != n):
+                lead, tail = text[max(0, a - shift) : a], text[b : b + SIZE]
+                out.append(_tagged(lead + new + tail, [(kind, len(lead) + x, len(lead) + y) for x, y in spans], 0))
+    for m in itertools.islice(_TRIGGER.finditer(text), 0, 400, 100):
+        if not any(a < m.start() + SIZE and m.start() - SIZE < b for _, a, b in all_):
+            out.append(_tagged(text, [], max(0, m.start() - 30)))
     return out
 
 
@@ -131,14 +137,14 @@ def fit(windows: list[tuple[str, list[int]]]) -> BiLstmCrf | None:
 
 
 def _has_trigger(column: pa.Array) -> np.ndarray:
-    """Rows with a digit or an @, by a pass over the bytes."""
+    """Rows with a digit, an @ or an opening bracket, by a pass over the bytes."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())
     offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
     sums = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(((data >= 0x30) & (data <= 0x39)) | (data == 0x40), out=sums[1:])
+    np.cumsum(((data >= 0x30) & (data <= 0x39)) | (data == 0x40) | (data == 0x28) | (data == 0x5B), out=sums[1:])
     return sums[offs[1:] - offs[0]] > sums[offs[:-1] - offs[0]]
 
 
@@ -158,55 +164,78 @@ def learn(spark: SparkSession, docs: DataFrame) -> BiLstmCrf | None:
     return fit([(r["w"], r["tags"]) for r in rows])
 
 
-def _windows(text: str) -> list[int]:
-    """Starts of the windows over text that have a digit or an @."""
-    starts = list(range(0, max(1, len(text) - SIZE + STEP), STEP))
-    at = np.array([m.start() for m in re.finditer(r"[0-9@]", text)])
-    return [s for s in starts if np.searchsorted(at, s + SIZE) > np.searchsorted(at, s)]
+def _tags(net: BiLstmCrf, texts: list[str]) -> list[np.ndarray]:
+    """Tags of all positions of each text. Window k starts at k * STEP and decides its middle, the first and the last also the text's ends."""
+    n = [max(1, -(-(len(t) - SIZE) // STEP) + 1) for t in texts]
+    out, done = [np.zeros(len(t), np.int8) for t in texts], [np.zeros(k, dtype=bool) for k in n]
+    edge = (SIZE - STEP) // 2
+
+    def own(i: int, k: int) -> tuple[int, int]:
+        return (0 if k == 0 else k * STEP + edge), (len(texts[i]) if k == n[i] - 1 else min(len(texts[i]), k * STEP + edge + STEP))
+
+    todo = []
+    for i, t in enumerate(texts):
+        at = np.array([m.start() for m in _TRIGGER.finditer(t)], dtype=np.int64)
+        s = np.arange(n[i]) * STEP
+        todo += [(i, int(k)) for k in np.flatnonzero(np.searchsorted(at, s + SIZE) > np.searchsorted(at, s))]
+    while todo:
+        more = set()
+        for j in range(0, len(todo), BATCH):
+            part = todo[j : j + BATCH]
+            got = net.decode(np.stack([encode(texts[i][k * STEP : k * STEP + SIZE].ljust(SIZE, "\n")) for i, k in part]).T).T
+            for (i, k), row in zip(part, got, strict=True):
+                a, b = own(i, k)
+                out[i][a:b] = row[a - k * STEP : b - k * STEP]
+                done[i][k] = True
+                if a < b:  # a span that reaches the end of what is decoded
+                    more |= {(i, x) for x, p in ((k - 1, a), (k + 1, b - 1)) if 0 <= x < n[i] and out[i][p]}
+        todo = sorted(x for x in more if not done[x[0]][x[1]])
+    return out
 
 
 def added_spans(net: BiLstmCrf | None, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """Spans that the network adds to each text's rule spans."""
-    jobs = [(k, s) for k, t in enumerate(texts) for s in _windows(t)] if net else []
-    votes: list[Counter] = [Counter() for _ in texts]
-    for i in range(0, len(jobs), BATCH):
-        part = jobs[i : i + BATCH]
-        tags = net.decode(np.stack([encode(texts[k][s : s + SIZE].ljust(SIZE, "\n")) for k, s in part]).T).T
-        for (k, s), row in zip(part, tags.tolist(), strict=True):
-            j = 0
-            while j < SIZE:
-                if row[j] == 0:
-                    j += 1
-                    continue
-                kind, a = TAGS[row[j]][2:], j
-                j += 1
-                while j < SIZE and TAGS[row[j]] == f"I-{kind}":
-                    j += 1
-                cut = (a < EDGE and s > 0) or (j > SIZE - EDGE and s + SIZE < len(texts[k]))
-                if not cut and s + j <= len(texts[k]):
-                    votes[k][(kind, s + a, s + j)] += 1
     out = []
-    for t, b, v in zip(texts, base, votes, strict=True):
-        kept: list[tuple[str, int, int]] = []
-        held = bytearray(len(t))
+    for t, b, tags in zip(texts, base, _tags(net, texts) if net else [np.zeros(0, np.int8)] * len(texts), strict=True):
+        kind = (tags + 1) // 2  # 0 is outside; the first tag of a kind begins a span
+        before = np.concatenate([[0], kind[:-1]]) if len(kind) else kind
+        first = np.flatnonzero((kind > 0) & ((tags % 2 == 1) | (kind != before)))
+        last = np.flatnonzero((before > 0) & ((kind != before) | (tags % 2 == 1)))
+        last = np.append(last, len(tags)) if len(last) < len(first) else last
+        held = np.zeros(len(t) + 1, np.int64)
         for _, x, y in b:
-            held[x:y] = b"\1" * (y - x)
-        for (kind, x, y), _ in sorted(v.items(), key=lambda q: (-q[1], q[0][1] - q[0][2], q[0][1])):
-            value = t[x:y]
-            clear = (x == 0 or not t[x - 1].isalnum()) and (y == len(t) or not t[y].isalnum())
-            if clear and plausible(kind, value) and not any(held[x:y]):
-                kept.append((kind, x, y))
-                held[x:y] = b"\1" * (y - x)
+            held[x] += 1
+            held[y] -= 1
+        held = np.concatenate([[0], np.cumsum(np.cumsum(held) > 0)])
+        kept: list[tuple[str, int, int]] = []
+        for x, y in zip(first.tolist(), last.tolist(), strict=True):
+            name = KINDS[kind[x] - 1]
+            # what is no datum as a whole may be several, with blanks between
+            for u, v in _pieces(name, t, x, y):
+                clear = (u == 0 or not t[u - 1].isalnum()) and (v == len(t) or not t[v].isalnum())
+                if clear and held[v] == held[u]:
+                    kept.append((name, u, v))
         out.append(kept)
     return out
 
 
+def _pieces(kind: str, text: str, x: int, y: int) -> list[tuple[int, int]]:
+    """text[x:y] without blanks and stops at its ends if it is plausible, else those of its words that are."""
+    for parts in ([(x, y)], [m.span() for m in re.compile(r"[^ \n]+").finditer(text, x, y)]):
+        trimmed = [(b - len(text[a:b].lstrip(" .,;:\n")), a + len(text[a:b].rstrip(" .,;:\n"))) for a, b in parts]
+        if found := [(a, b) for a, b in trimmed if a < b and plausible(kind, text[a:b])]:
+            return found
+    return []
+
+
 def plausible(kind: str, value: str) -> bool:
     """What an added span must hold."""
     if kind == "email":
-        return value.count("@") == 1 and "." in value.partition("@")[2] and not any(c.isspace() for c in value)
+        plain = _DOT.sub(".", _AT.sub("@", value))
+        return base_spans(plain)[:1] == [("email", 0, len(plain))]
     if kind == "ip":
-        return value.count(".") == 3 and all(p.isascii() and p.isdigit() for p in value.split(".")) and valid("ip", value)
+        plain = "".join(c for c in value if c not in " []()")
+        return bool(_IP.fullmatch(plain)) and valid("ip", plain)
     if not all(c in "0123456789+-()./ " for c in value) or not valid(kind, value):
         return False
     return kind == "card" or (value[0] in "+(0123456789" and any(c in value for c in " -.()"))
