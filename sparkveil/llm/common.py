@@ -59,6 +59,17 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column of a table has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def bounded(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """small, a written table, with the broadcast hint if its counted rows stay below the limit; else as it is, for a shuffled join."""
     return F.broadcast(small) if small.count() * row_bytes <= limit else small

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, bounded, small_batches, unused
 
-#: Features; labelled documents a language that are fitted on at most, those of least hash; languages at most, the most frequent.
-DIMS, PER_LANGUAGE, LANGUAGES = 2048, 400, 64
+#: Features; labelled documents a language, and in all, that are fitted on at most, those of least hash. All labelled languages are learned.
+DIMS, PER_LANGUAGE, FIT_ROWS = 2048, 400, 25_600
+#: The stage takes a text of a lesser score as being in none of the languages, and a label as wrong if another language has this score.
+MIN_SCORE, SURE = 0.6, 0.99
 #: Families by ISO 639-1 code; a language that is not listed is in the family "other".
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi", "romance": "fr es it pt ro ca gl oc la", "slavic": "ru uk be bg mk sr hr bs sl cs sk pl",
@@ -118,42 +120,47 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
 
 
 def learn(spark: SparkSession, labelled: DataFrame) -> Model | None:
-    """A model from (text, lang): at most PER_LANGUAGE rows of each of the LANGUAGES most frequent languages, chosen by a hash of the text."""
+    """A model from (text, lang): of each language at most PER_LANGUAGE rows, or its even part of FIT_ROWS if there are very many, chosen by a hash of the text."""
     small_batches(spark)
-    tally = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not tally:
-        return None
-    # a language's share of rows that gives somewhat over PER_LANGUAGE of them; the exact number is cut below
-    share = F.create_map(*[F.lit(v) for r in tally for v in (r["lang"], min(1.0, 1.3 * PER_LANGUAGE / r["n"] + 0.01 * PER_LANGUAGE / r["n"]))])
+    scratch = Scratch(spark, "langid")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "text"), 11).cast("double") / float(2**53)
-    some = labelled.withColumn("u", draw).where(F.col("u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    labelled = labelled.select("text", "lang", draw.alias("u"))
+    tally = scratch.table(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least")), "tally")
+    languages = tally.count()
+    if not languages:
+        return None
+    per = min(PER_LANGUAGE, max(1, FIT_ROWS // languages))
+    # a share of rows that gives somewhat over `per` of them, and one at least; the exact number is cut below
+    share = tally.select(F.col("lang").alias("l_"), F.greatest("least", 1.31 * per / F.col("n")).alias("share"))
+    some = labelled.join(bounded(share, 64), F.col("lang") == F.col("l_")).where("u <= share").select("text", "lang", "u")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [(lang, u, v) for text, lang, u in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("u").to_pylist(), strict=True) if (v := features(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2].astype(np.float32).tobytes() for g in got], pa.binary())], ["lang", "u", "v"])
 
-    table = Scratch(spark, "langid").table(some.select("text", "lang", "u").mapInArrow(make, "lang string, u double, v binary"), "sample")
+    table = scratch.table(some.mapInArrow(make, "lang string, u double, v binary"), "sample")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "v"))
-    rows = table.withColumn("k", place).where(F.col("k") <= PER_LANGUAGE).select("lang", "v").orderBy("lang", "k").collect()
+    rows = table.withColumn("k", place).where(F.col("k") <= per).select("lang", "v").orderBy("lang", "k").collect()
     if not rows:
         return None
     return fit(np.stack([np.frombuffer(r["v"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score. `und` and 0 for null, for texts without a letter, and where there is no model."""
+    """docs without its text, with lang_pred and score; columns of docs with these names get underscores. `und` and 0 for null, for texts without a letter, and where there is no model."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # languages^2 x DIMS numbers at most
+    own = [c for c in docs.columns if c != text_col]
+    names = unused(["lang_pred", "score"], *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [("und", 0.0) if shared.value is None or (v := features(t.as_py())) is None else shared.value.predict(v) for t in b.column("lid_text_")]
-            kept = [(n, b.column(n)) for n in b.schema.names if n != "lid_text_"]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [n for n, _ in kept] + ["lang_pred", "score"])
+            out = [("und", 0.0) if shared.value is None or (v := features(t.as_py())) is None else shared.value.predict(v) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + ["lang_pred string, score double"])
-    return docs.withColumnRenamed(text_col, "lid_text_").mapInArrow(run, schema)
+    schema = ", ".join([f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, own, strict=True)] + ["lang_pred string, score double"])
+    return docs.select(text_col, *own).mapInArrow(run, schema)
 
 
 def fold(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -173,14 +180,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are in some language; those without one (`und`: null, or no letter) go."""
+    """Pipeline stage: the documents that are in one of the languages, as their text tells; `lang` is the predicted one where it was null or where that is sure.
+
+    Those go that have no letter, or score below MIN_SCORE: no family claims the text, or its languages do about alike. Learned and predicted
+    as by query(). Nulls: a null text goes; a null id is in no way special. Equal texts stay or go together; repeated rows each. Empty
+    tables give no rows; without any label all rows go. Other columns are kept as they are, whatever their names. Long texts are counted whole."""
     folded = fold(docs.select("doc_id", "text", "lang"))
     model = learn(spark, folded.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("text", "lang"))
     shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value is not None and (v := features(t.as_py())) is not None and shared.value.predict(v)[0] != "und" for t in b.column("text")]
-            yield b.filter(pa.array(found, pa.bool_()))
+            found = [("und", 0.0) if shared.value is None or (v := features(t.as_py())) is None else shared.value.predict(v) for t in b.column("text")]
+            lang = [p if old is None or score >= SURE else old for old, (p, score) in zip(b.column("lang").to_pylist(), found, strict=True)]
+            out = b.set_column(at, b.schema.field(at), pa.array(lang, b.schema.field(at).type))
+            yield out.filter(pa.array([p != "und" and score >= MIN_SCORE for p, score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -379,10 +379,37 @@ def test_language(spark, docs, tmp_path):
     assert np.mean([got[i]["lang_pred"] == truth[i] for i in truth if got[i]["held_out"]]) > 0.9
     assert all(0 <= r["score"] <= 1 for r in got.values())
     kept = langid.stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")
-    assert kept.columns == ["doc_id", "text", "lang", "score"] and {r["doc_id"] for r in kept.collect()} == {i for i, t, _ in made if i not in (500, 501, 502)}
+    assert kept.columns == ["doc_id", "text", "lang", "score"] and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["score"] >= langid.MIN_SCORE} >= {i for i in truth if got[i]["score"] > 0.9}
     assert langid.stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_stage_uses_the_prediction(spark):
+    rng = random.Random(16)
+    sounds = {"en": "the ing and of", "de": "ich ung ei sch", "fr": "eau ou que é", "xx": "zka vky pro ný"}
+    text = lambda l, n=40: " ".join("".join(rng.choice(sounds[l].split()) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(l), l, "a", 1) for i, l in enumerate(list(sounds) * 80)]
+    rows += [(1000, text("de"), "en", "a", 1), (1001, text("xx"), None, "a", 1), (1002, "Ж щ ъ ю " * 30 + "qq wx 8", "en", "a", 1), (1003, "4 5", "en", "a", 1), (1004, None, "en", "a", 1), (1005, "", None, "a", 1), (None, text("fr"), "fr", "a", 1), (0, *rows[0][1:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lid_text_ int")
+    kept = langid.stage(spark, df, "")
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["lang"]) for r in kept.collect()]
+    assert sorted(g for g in got if g[0] is not None and g[0] < 1000) == sorted((r[0], r[2]) for r in rows if r[0] is not None and r[0] < 1000)
+    assert (1000, "de") in got and (1001, "xx") in got and (None, "fr") in got and not {1003, 1004, 1005} & {g[0] for g in got}
+    pred = langid.predict(spark, df, None)
+    assert pred.columns == ["doc_id", "lang", "score_", "lid_text_", "lang_pred", "score"]
+
+
+def test_all_languages_are_learned(spark):
+    rng = random.Random(17)
+    rows = []
+    for k in range(90):  # each writes with three letters of its own
+        own = [chr(0x4E00 + 3 * k + j) for j in range(3)]
+        rows += [(" ".join("".join(rng.choice(own) for _ in range(4)) for _ in range(12)), f"l{k}") for _ in range(4)]
+    model = langid.learn(spark, spark.createDataFrame(rows, "text string, lang string"))
+    assert sum(map(len, model.languages.values())) == 90
+    assert np.mean([model.predict(langid.features(t))[0] == l for t, l in rows[::5]]) > 0.9
+
+
 def test_language_without_labels(spark):
     assert langid.learn(spark, spark.createDataFrame([], "text string, lang string")) is None
     assert langid.predict(spark, spark.createDataFrame([(1, "abc")], "doc_id long, text string"), None).first()["lang_pred"] == "und"
