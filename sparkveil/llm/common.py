@@ -75,6 +75,21 @@ def bounded(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
+def copies(scratch: Scratch, rows: DataFrame, row: str, by: list[str], name: str) -> DataFrame:
+    """rows with `name`, a row's number among those that are equal in the columns `by`, from 0. Rows is a written table, `row` its monotonically
+    increasing number. Of equal rows it does not matter which has which number, so that what is drawn from it does not depend on how rows are laid out.
+    No task holds a group: copies are counted by partition first."""
+    kept = rows.select(row, F.xxhash64(*by).alias("h"))
+    many = scratch.table(kept.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "many")
+    if not many.limit(1).count():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    twins = kept.join(bounded(many, 16), "h").withColumn("part", F.shiftright(F.col(row), 33))
+    starts = twins.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).select("h", "part", F.expr("coalesce(sum(n) OVER (PARTITION BY h ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("n0"))
+    placed = twins.withColumn("k", F.expr(f"row_number() OVER (PARTITION BY h, part ORDER BY `{row}`) - 1")).join(bounded(scratch.table(starts, "starts"), 40), ["h", "part"])
+    numbers = bounded(scratch.table(placed.select(F.col(row).alias("r"), (F.col("n0") + F.col("k")).cast("long").alias(name)), "copies"), 32)
+    return rows.join(numbers, F.col(row) == F.col("r"), "left").select(*rows.columns, F.coalesce(name, F.lit(0)).cast("long").alias(name))
+
+
 def rank_in_group(spark: SparkSession, df: DataFrame, group: list[str], unit: str, order: list[str], n_rows: int, weight: str | None = None, per_bucket: int = 65536, least: int = 64) -> DataFrame:
     """Adds `rank_`, the 0-based rank of each row within its group by `unit` (a double from 0 to 1, evenly spread) and then `order`;
     with `weight`, `before_` too, the sum of weight over the rows that come earlier. No task holds a group: rows are dealt by

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_in_group
+from .common import Scratch, copies, rank_in_group, unused
 
 Topology = dict[str, dict[str, list[tuple[int, float]]]]
 #: Shards to a rack and racks to a region of the regular part of a topology.
@@ -58,13 +58,17 @@ def draw_shard(key: Column, tree: Topology) -> Column:
 def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law, shard, slot, grown_shard for every row.
 
-    The law is `key`: the id and the number of shards decide. slot runs from 0 without gaps in each shard, by a hash of the id, then
-    id, size and CRC. Nulls: a null text has no bytes; a null id is drawn as the word null. Repeated rows stay, in the
+    The law is `key`: the id and the number of shards decide. slot runs from 0 without gaps in each shard, by a hash of id, size, CRC and the row's
+    number among those equal in all three, so that neither a repeated nor a null id lands in one task. Nulls: a null text has no bytes; a null id is drawn as the word null. Repeated rows stay, in the
     same shard and in slots of their own. An empty table gives no rows. Columns other than id and text are not read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("b"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = rows.select("doc_id", (F.col("b") + 1).alias("size"), "text_crc32", F.lit("key").alias("law"), draw_shard(key, topology(shards)).alias("shard"), draw_shard(key, topology(shards + 1)).alias("grown_shard"), uniform(F.concat_ws("|", F.lit("slot"), key)).alias("u_"))
-    ranked = rank_in_group(spark, rows, ["shard"], "u_", ["doc_id", "size", "text_crc32"], docs.count())
+    scratch = Scratch(spark, "shards")
+    rows = scratch.table(rows.select("doc_id", (F.col("b") + 1).alias("size"), "text_crc32", F.monotonically_increasing_id().alias("row_")), "rows")
+    rows = copies(scratch, rows, "row_", ["doc_id", "size", "text_crc32"], "copy_")
+    slot = uniform(F.concat_ws("|", F.lit("slot"), key, F.col("size"), F.col("text_crc32"), F.col("copy_")))
+    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), draw_shard(key, topology(shards)).alias("shard"), draw_shard(key, topology(shards + 1)).alias("grown_shard"), slot.alias("u_"), "copy_")
+    ranked = rank_in_group(spark, rows, ["shard"], "u_", ["doc_id", "size", "text_crc32", "copy_"], docs.count())
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", F.col("rank_").alias("slot"), "grown_shard")
 
 
@@ -73,10 +77,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with the shard that their id draws. The last stage, so a column is added."""
-    name, taken = "shard", {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
+    """Pipeline stage: the documents with the shard that their id draws. The last stage, so a column is added, with underscores if docs has its name.
+
+    Nulls: a null id is drawn as the word null; a null text is kept. Repeated ids are in one shard. Empty tables give no rows. Texts are not read."""
+    (name,) = unused(docs.columns, "shard")
     return docs.withColumn(name, draw_shard(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), topology(16)))
 
 
@@ -101,6 +105,6 @@ d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '')
 crc AS (SELECT doc_id, k, octet_length(encode(x))::BIGINT + 1 AS size,
   xor(4294967295::BIGINT, list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT), lambda s, v: xor(s >> 8, t[(xor(s, v) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
   FROM d, tab)
-SELECT doc_id, size, text_crc32, 'key' AS law, a.shard, row_number() OVER (PARTITION BY a.shard ORDER BY {"((('0x' || substr(md5('slot|' || k), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"}, doc_id, size, text_crc32) - 1 AS slot, b.shard AS grown_shard
-FROM crc JOIN a USING (k) JOIN b USING (k)
+SELECT doc_id, size, text_crc32, 'key' AS law, a.shard, row_number() OVER (PARTITION BY a.shard ORDER BY {"((('0x' || substr(md5('slot|' || k || '|' || size || '|' || text_crc32 || '|' || copy), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"}, doc_id, size, text_crc32, copy) - 1 AS slot, b.shard AS grown_shard
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy FROM crc) JOIN a USING (k) JOIN b USING (k)
 """

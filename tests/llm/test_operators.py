@@ -112,6 +112,50 @@ def test_mixing_stage_and_empty(spark, docs, none):
     assert sum(len(PLAIN.findall(r["text"])) for r in out.collect()) == sum(x["taken"] for x in mixing.plan(spark, docs)[2].collect())
 
 
+def test_mix_does_not_depend_on_the_layout(spark, rows, tmp_path):
+    many = rows + [(None, "same words of a page", None, None, 1, 1, 1)] * 30 + [(7, "other words", "en", "b", k % 2, 1, 1) for k in range(20)]
+    extra = spark.createDataFrame([(*r, "x", "y") for r in many], DOCS + ", taken_ string, parts_ string")
+    seen = []
+    for n in (1, 5):
+        spark.createDataFrame(random.Random(n).sample(many, len(many)), DOCS).repartition(n).write.parquet(str(tmp_path / f"{n}/documents.parquet"))
+        seen.append((multiset(mixing.query(spark, str(tmp_path / str(n)))), multiset(mixing.stage(spark, extra.repartition(n), ""))))
+    assert seen[0] == seen[1]
+    assert sum(seen[0][0].values()) == len(many)
+
+
+def test_shard_quotas_follow_the_tree(spark, docs):
+    _, _, blocks = mixing.plan(spark, docs)
+    got = Counter((r["source"], r["shard"]) for r in blocks.where("taken > 0").collect())
+    per = Counter()
+    for (source, _), n in got.items():
+        per[source] += n
+    drawn = spark.createDataFrame(list(per.items()), "source string, blocks long")
+    quotas = {(r["source"], r["shard"]): (r["first"], r["quota"]) for r in mixing.split_quotas(drawn).collect()}
+    assert {k: q for k, (_, q) in quotas.items()} == dict(got)
+    for source in per:  # runs of a source lie end to end
+        at = 0
+        for s in range(mixing.SHARDS):
+            first, quota = quotas.get((source, s), (at, 0))
+            assert first == at
+            at += quota
+        assert at == per[source]
+
+
+def test_splitting_tree_draws(spark):
+    """Seeds give different draws, near the mean; any number of sources and shards adds up."""
+    drawn = spark.createDataFrame([("a", 1200), ("b", 1800), (None, 1000)], "source string, blocks long")
+    ks = [next(r["quota"] for r in mixing.split_quotas(drawn, 2, seed).collect() if r["source"] == "a" and r["shard"] == 0) for seed in range(4)]
+    assert len(set(ks)) > 1 and all(abs(k - 600) < 80 for k in ks)  # standard deviation 14.5
+    for sources, shards in ((5, 7), (70, 16)):
+        many = {f"s{k}": 1 + k * k % 23 for k in range(sources)}
+        got = mixing.split_quotas(spark.createDataFrame(list(many.items()), "source string, blocks long"), shards).collect()
+        by, per = Counter(), Counter()
+        for r in got:
+            by[r["source"]] += r["quota"]
+            per[r["shard"]] += r["quota"]
+        assert by == Counter(many) and max(per[s] for s in range(shards)) - min(per[s] for s in range(shards)) <= 1
+
+
 def test_quota_draw_is_hypergeometric(spark):
     spark.range(3000).createOrReplaceTempView("draws")
     k = mixing._hypergeometric("t", "g", "d", "u")
