@@ -1,12 +1,14 @@
 """Near-duplicate documents by Order MinHash (operator 2).
 
 Equal texts are one node. A node's five-word shingles are labelled with their occurrence; for each of BANDS hash orders, the
-ORDERED labelled shingles of least hash are taken in the order of the text, and their sequence is a band key. Nodes with a common key
-are candidates: those of a key are first compared with its best-connected node, its centre, then with their likeliest
-partners; what is left are the pairs of nodes that no verified pairs connect yet, and all of them are compared. So only pairs
-within a component are saved. A texts of fewer than SHORT shingles, for which bands are not sure, also meet by their rarest shingles: of two similar ones each holds a common one among
-its first n - ceil(0.8 n) + 1 in the order of document frequency. A
-pair is verified by a banded alignment of the two shingle sequences; the classes are the connected components of the verified pairs.
+ORDERED labelled shingles of least hash are taken in the order of the text, and their sequence is a band key. Texts of fewer than SHORT shingles, for which
+bands are not sure, also have their rarest shingles as keys: of two similar ones each holds a common one among
+its first n - ceil(0.8 n) + 1 in the order of document frequency. Nodes with a common key are candidates.
+
+First each node is aligned with one other, the best-connected of all in its keys, which joins a group of copies of one original in one step. What is left are the
+pairs of a key that no verified pairs connect yet. All of them are compared: a task has the shingles of a key's nodes, counts by an inverted
+index how many each two have in common, and aligns those that have enough; only the links that join something come out. Keys of very many
+shingles are cut into blocks, each two of which meet in a task. The classes are the connected components of the verified pairs.
 """
 
 from __future__ import annotations
@@ -18,17 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, small_batches
+from .common import Scratch, bounded, small_batches, unused
 from .words import PLAIN, Words, mix, pieces
 
 #: A pair at the threshold has the same ORDERED minima in a band with probability 0.8^6 = 0.26, and in none of 40 bands with (1 - 0.26)^40 = 5e-6.
 SHINGLE, SIMILARITY, BANDS, ORDERED = 5, 0.8, 40, 6
-#: Bands that a candidate pair agrees in: at the threshold fewer have probability 8e-5, up to 1.3e-4 in texts of SHORT shingles.
-AGREE = 2
 #: Pairs whose smaller text has fewer shingles meet by a prefix filter, which loses none; the larger one has up to 5/4 as many.
 SHORT = 100
-#: Nodes of a key that are compared in one task's memory at most, SHARD_ROWS nodes a task; larger keys are cut into blocks, and each two of these compared.
-IN_MEMORY, SHARD_ROWS = 2000, 20_000
+#: Shingles of a block of a key, and of a task.
+BLOCK_SHINGLES, TASK_SHINGLES = 1 << 19, 1 << 22
 _seeds = np.random.default_rng(11).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 _ORDER = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, ORDERED + 1)], dtype=np.uint64)
 
@@ -143,48 +143,54 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(best: bool):
-    """Pairs of nodes of a unit that agree in AGREE bands, or have a common shingle of their prefixes, and have not the same root: all of them, or with `best` of each node the one that it agrees with most."""
-
-    def run(table: pa.Table) -> pa.Table:
-        unit, n = table.column("unit").to_numpy(), table.column("n").to_numpy()
-        node, root = (table.column(c).combine_chunks().dictionary_encode() for c in ("node", "root"))
-        code, roots = (x.indices.to_numpy().astype(np.int64) for x in (node, root))
-        marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        sure = table.column("sure").to_numpy()
-        order = np.argsort(unit, kind="stable")
-        found = [np.zeros(0, np.int64)]
-        for group in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(order) else ():
-            m, size, of = marks[group], n[group], roots[group]
-            agree = np.zeros((len(group), len(group)), dtype=np.uint8)
-            for band in m.T:
-                agree += band[:, None] == band[None, :]
-            if sure[group[0]]:
-                np.maximum(agree, AGREE, out=agree)
-            agree[np.minimum(size[:, None], size[None, :]) < SIMILARITY * np.maximum(size[:, None], size[None, :])] = 0
-            agree[of[:, None] == of[None, :]] = 0
-            agree[agree < AGREE] = 0
-            if best:
-                i, j = np.arange(len(group)), agree.argmax(axis=1)
-                i, j = i[agree[i, j] > 0], j[agree[i, j] > 0]
-            else:
-                i, j = np.nonzero(np.triu(agree))
-            x, y = code[group[i]], code[group[j]]
-            found.append(np.unique(np.minimum(x, y) * len(node.dictionary) + np.maximum(x, y)))
-        x, y = np.divmod(np.unique(np.concatenate(found)), max(1, len(node.dictionary)))
-        return pa.table({"node": node.dictionary.take(pa.array(x)), "centre": node.dictionary.take(pa.array(y))})
-
-    return run
-
-
-def _verified(scratch: Scratch, pairs: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """edges with the pairs that it does not have yet, aligned."""
-    pairs = pairs.select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct()
-    new = scratch.table(pairs.join(edges.select("node", "centre"), ["node", "centre"], "left_anti"), "candidates")
-    both = edges.select("node", "centre", "ok").union(edges.select("centre", "node", "ok")).distinct()
+def _linked(table: pa.Table) -> pa.Table:
+    """Pairs (node, centre) of SIMILARITY that join different roots of a unit, aligned; where a unit has nodes of two blocks, pairs of a node of each."""
+    unit, block = table.column("unit").to_numpy(), table.column("b").to_numpy()
+    node, root = (table.column(c).combine_chunks() for c in ("node", "root"))
+    roots = root.dictionary_encode().indices.to_numpy().astype(np.int64)
+    texts = table.column("x").combine_chunks()
+    order = np.argsort(unit, kind="stable")
+    found: list[tuple[int, int]] = []
+    for rows in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(order) else ():
+        _, own = np.unique(roots[rows], return_inverse=True)
+        if len(rows) < 2 or own.max() == 0:
+            continue
+        x = [_distinct(np.frombuffer(texts[int(r)].as_buffer(), np.uint32)).astype(np.uint64) for r in rows]
+        n = np.array([len(y) for y in x])
+        cross = len(np.unique(block[rows])) > 1
+        above = list(range(int(own.max()) + 1))  # a forest over the unit's roots
+
+        def top(k: int) -> int:
+            while above[k] != k:  # noqa: B023
+                above[k] = k = above[above[k]]  # noqa: B023
+            return k
+
+        _, which, often = np.unique(np.concatenate(x), return_inverse=True, return_counts=True)
+        holders = np.repeat(np.arange(len(x)), n)[np.argsort(which, kind="stable")]
+        first, begin = np.cumsum(often) - often, np.concatenate([[0], np.cumsum(n)])
+        major = np.bincount(own).argmax()
+        for i in np.flatnonzero(own != major).tolist():
+            mine = which[begin[i] : begin[i + 1]]
+            many = often[mine]
+            at = np.repeat(first[mine], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            common = np.bincount(holders[at], minlength=len(x))
+            enough = (9 * common >= 4 * (n + n[i])) & (own != own[i])  # what similarity 0.8 needs, whatever the order
+            if cross:
+                enough &= block[rows] != block[rows[i]]
+            near = np.flatnonzero(enough)
+            for j in near[np.argsort(-common[near], kind="stable")].tolist():
+                if top(own[i]) != top(own[j]) and similarity(x[i], x[j]) >= SIMILARITY:
+                    above[top(own[i])] = top(own[j])
+                    found.append((int(rows[i]), int(rows[j])))
+    i, j = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+    return pa.table({"node": node.take(i), "centre": node.take(j)})
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs whose alignment is good enough."""
+    new = scratch.table(pairs.select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct(), "candidates")
     got = new.join(texts, "node").join(texts.select(F.col("node").alias("centre"), F.col("x").alias("y")), "centre").select("node", "centre", "x", "y")
-    done = scratch.table(got.mapInArrow(_verify, "node binary, centre binary, ok boolean"), "aligned")
-    return scratch.table(both.union(done).union(done.select("centre", "node", "ok")).distinct(), "edges")
+    return scratch.table(got.mapInArrow(_verify, "node binary, centre binary, ok boolean").where("ok").select("node", "centre"), "aligned")
 
 
 def _components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -215,26 +221,21 @@ def _prefixes(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     return scratch.table(keys, "prefixes")
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    return edges.where("ok").select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct()
-
-
 def _apart(scratch: Scratch, open_: DataFrame, roots: DataFrame) -> DataFrame:
-    """Units (unit, node, n, marks, sure, root) in which each two nodes of a key whose roots differ meet. A key with one root has none. A large key is cut into blocks of
-    its most frequent root's nodes and blocks of the others; two blocks of the former need not meet."""
-    half = max(1, IN_MEMORY // 2)
+    """Units (unit, b, node, root, n) in which each two nodes of a key whose roots differ meet. A key with one root has none. A large key is cut into blocks of
+    its largest root's nodes and blocks of the others; two blocks of the former need not meet."""
     roots = bounded(scratch.table(roots, "rooted"), 72)
     rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted(open_.select("key", "node")).groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    sizes = rooted(open_.select("key", "node", "n")).groupBy("key", "root").agg(F.sum(F.col("n").cast("long")).alias("m"))
     keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("all_"), F.count(F.lit(1)).alias("d")).where("d > 1")
-    keys = keys.select("key", "major", F.expr(f"if(all_ <= {IN_MEMORY}, 1L, ceil((all_ - most) / {half}))").alias("others"), F.expr(f"if(all_ <= {IN_MEMORY}, 0L, ceil(most / {half}))").alias("majors"))
-    met = rooted(open_.join(bounded(scratch.table(keys, "apart"), 72), "key")).withColumn("other", F.expr("majors = 0 OR root != major"))
+    keys = keys.select("key", "major", F.expr(f"if(all_ <= {BLOCK_SHINGLES}, 1L, ceil((all_ - most) / {BLOCK_SHINGLES}))").alias("others"), F.expr(f"if(all_ <= {BLOCK_SHINGLES}, 0L, ceil(most / {BLOCK_SHINGLES}))").alias("majors"))
+    met = rooted(open_.select("key", "node", "n").join(bounded(scratch.table(keys, "apart"), 72), "key")).withColumn("other", F.expr("majors = 0 OR root != major"))
     met = met.withColumn("b", F.expr("if(other, pmod(xxhash64(node), others), others + pmod(xxhash64(node), greatest(majors, 1L)))"))
-    return scratch.table(met.select(F.explode(F.expr("transform(sequence(0L, if(other, others + majors, others) - 1L), o -> xxhash64(key, least(b, o), greatest(b, o)))")).alias("unit"), "node", "n", "marks", "sure", "root"), "units")
+    return scratch.table(met.select(F.explode(F.expr("transform(sequence(0L, if(other, others + majors, others) - 1L), o -> xxhash64(key, least(b, o), greatest(b, o)))")).alias("unit"), "b", "node", "root", "n"), "units")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, class_id, n_links for every row: node is the digest of the text, class_id the least id of the class, n_links the verified links of the text to other texts.
+    """doc_id, node, class_id, n_links for every row: node is the digest of the text, class_id the least id of the class, n_links the verified links of the text to other texts; links within what others connect already are not looked for.
 
     Nulls: a row with a null text is alone in a class of its own id; a null id is kept, and is the class id only where the class has no other.
     Empty texts, and texts without words, are classes of equal texts. Texts of fewer than five words are one shingle. Repeated rows have one node and class. Empty tables: no rows. Long texts are used whole."""
@@ -247,27 +248,24 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     ids = scratch.table(made.select("doc_id", "node"), "ids")
     scratch.drop(made)
 
-    marks = F.expr("transform(bands, x -> cast(x & 32767 AS smallint))").alias("marks")
     prefix = _prefixes(scratch, nodes)
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"), marks, F.lit(False).alias("sure")).union(nodes.select("node", "n", "bands").join(prefix, "node").select("node", "n", "key", marks, F.lit(True).alias("sure")))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key")).union(nodes.select("node", "n").join(prefix, "node").select("node", "n", "key"))
     shared = nodes.select(F.explode("bands").alias("key")).union(prefix.select("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = bounded(scratch.table(shared, "shared"), 24)
     open_ = scratch.table(keyed.join(shared, "key"), "open")
     wanted = bounded(scratch.table(open_.groupBy("node").agg(F.sum(F.col("c") - 1).alias("w")), "wanted"), 48)
     held = rows.where("text IS NOT NULL").select("node", "text").join(wanted, "node", "left_semi")
     texts = scratch.table(held.mapInArrow(_shingles, "node binary, x binary").dropDuplicates(["node"]), "texts")
-    edges = nodes.select("node", F.col("node").alias("centre"), F.lit(True).alias("ok")).limit(0)
-    # the centre of a key is its node that agrees with others in most bands: an original of many copies in all its keys
-    centres = open_.join(wanted, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "marks"), F.struct("w", "node")).alias("c"))
-    centres = bounded(scratch.table(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.marks").alias("marks_c")), "centres"), 160)
-    pairs = open_.join(centres, "key").where(f"node != centre AND least(n, m) >= {SIMILARITY} * greatest(n, m) AND (sure OR aggregate(zip_with(marks, marks_c, (x, y) -> x = y), 0, (s, z) -> s + int(z)) >= {AGREE})")
-    edges = _verified(scratch, pairs.select("node", "centre"), edges, texts)
-    for best in (True, False):
-        rest = _apart(scratch, open_, _components(scratch, _links(edges)))
-        shards = max(1, -(-rest.count() // SHARD_ROWS))
-        cand = rest.withColumn("shard", F.expr(f"pmod(xxhash64(unit), {shards}L)")).groupBy("shard").applyInArrow(_candidates(best), "node binary, centre binary")
-        edges = _verified(scratch, cand, edges, texts)
-    links = scratch.table(_links(edges), "links")
+    # of the best-connected nodes of a node's keys, the best-connected of a fitting length: an original of many copies for all of them
+    centres = open_.join(wanted, "node").groupBy("key").agg(F.max(F.struct("w", "node", F.col("n").alias("m"))).alias("c"))
+    centres = bounded(scratch.table(centres, "centres"), 96)
+    pairs = open_.select("key", "node", "n").join(centres, "key").where(f"node != c.node AND least(n, c.m) >= {SIMILARITY} * greatest(n, c.m)")
+    first = _verified(scratch, pairs.groupBy("node").agg(F.max("c").alias("c")).select("node", F.col("c.node").alias("centre")), texts)
+    units = _apart(scratch, open_, _components(scratch, first))
+    tasks = max(1, -(-(units.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES))
+    met = units.join(texts, "node").withColumn("task", F.expr(f"pmod(xxhash64(unit), {tasks}L)"))
+    rest = met.groupBy("task").applyInArrow(_linked, "node binary, centre binary")
+    links = scratch.table(first.union(rest).select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct(), "links")
     roots = _components(scratch, links)
     degree = links.select("node").union(links.select("centre")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of = nodes.select("node", "least").join(roots, "node", "left").join(degree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -284,20 +282,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least id; of repeated rows of that one, one."""
+    """Pipeline stage: of each class the document with the least id; of repeated rows of that one, one.
+
+    Nulls: rows with a null text all stay; a null id stays where its class has no other. Empty texts are one class. Ties, that is several texts of a class under one
+    id, are broken by any one of them. Empty tables give no rows. Long texts are used whole. Other columns are kept as they are, whatever their names."""
     scratch = Scratch(spark, "near-stage")
     found = classes(spark, docs)
-    told = scratch.table(found.select("doc_id", "node", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays")), "told")
-    gone = bounded(scratch.table(told.where("NOT stays").distinct().select(F.col("doc_id").alias("d_"), F.col("node").alias("n_")), "gone"), 48)
-    rows = docs.withColumn("near_node_", F.unhex(F.md5("text")))
-    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & F.col("near_node_").eqNullSafe(F.col(b))
-    kept = rows.join(gone, same("d_", "n_"), "left_anti")
+    own, node = unused(docs.columns, "own_", "node_")
+    told = scratch.table(found.select("doc_id", "node", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays")), "told")
+    rows = docs.withColumn(own, F.col("doc_id")).withColumn(node, F.unhex(F.md5("text")))
+    same = lambda side: F.col(own).eqNullSafe(side["d"]) & F.col(node).eqNullSafe(side["n"])
+    gone = bounded(scratch.table(told.where("NOT stays").select(F.col("doc_id").alias("d"), F.col("node").alias("n")).distinct(), "gone"), 48)
+    kept = rows.join(gone, same(gone), "left_anti")
     # one class may hold several texts under the one id that stays, and one text several rows
-    many = told.where("stays").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("m_"))
+    many = told.where("stays").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("d"))
     many = bounded(scratch.table(many, "many"), 16)
     if many.limit(1).count():
-        held = kept.join(many, F.col("doc_id").eqNullSafe(F.col("m_")), "left_semi")
-        names = held.join(found.select(F.col("doc_id").alias("d_"), F.col("node").alias("n_"), "class_id").distinct(), same("d_", "n_"))
-        once = names.where("text IS NOT NULL").dropDuplicates(["class_id"]).select(*docs.columns).unionByName(names.where("text IS NULL").select(*docs.columns))
-        kept = kept.join(many, F.col("doc_id").eqNullSafe(F.col("m_")), "left_anti").select(*docs.columns).unionByName(once)
+        (cls,) = unused(kept.columns, "class_")
+        held = kept.join(many, F.col(own).eqNullSafe(many["d"]), "left_semi")
+        of = told.select(F.col("doc_id").alias("d"), F.col("node").alias("n"), F.col("class_id").alias(cls)).distinct()
+        names = held.join(of, same(of)).drop(of["d"], of["n"])
+        once = names.where("text IS NOT NULL").dropDuplicates([cls]).select(*docs.columns).unionByName(names.where("text IS NULL").select(*docs.columns))
+        kept = kept.join(many, F.col(own).eqNullSafe(many["d"]), "left_anti").select(*docs.columns).unionByName(once)
     return kept.select(*docs.columns)

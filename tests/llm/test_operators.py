@@ -230,7 +230,7 @@ def test_alignment_is_ordered():
 
 
 def test_large_keys_go_another_round(spark, monkeypatch):
-    monkeypatch.setattr(near, "IN_MEMORY", 1)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 100)
     rng = random.Random(5)
     w = [f"v{i}" for i in range(120)]
     texts = [" ".join(w)] + [" ".join(f"z{rng.randint(0, 99)}" if rng.random() < 0.02 else x for x in w) for _ in range(12)]
@@ -255,9 +255,9 @@ def same_classes(spark, texts):
     return of == {i: least[brute[t]] for i, t in rows}
 
 
-@pytest.mark.parametrize("in_memory", [20])
-def test_stars_and_chains_of_near_copies_stay_whole(spark, monkeypatch, in_memory):
-    monkeypatch.setattr(near, "IN_MEMORY", in_memory)
+@pytest.mark.parametrize("block", [6000, 1 << 19])
+def test_stars_and_chains_of_near_copies_stay_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", block)
     rng = random.Random(8)
     o = [f"o{i}" for i in range(304)]
     star = [list(o)]
@@ -274,6 +274,32 @@ def test_stars_and_chains_of_near_copies_stay_whole(spark, monkeypatch, in_memor
     assert same_classes(spark, texts)
 
 
+def test_stage_columns_may_have_any_names(spark):
+    w = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, w, "s", 0, 1, 2, 3), (2, w, "s", 0, 1, 2, 3), (3, w + " b", "s", 0, 1, 2, 3), (4, "other words here and there", "s", 0, 1, 2, 3), (None, None, "s", 0, 1, 2, 3), (1, w, "s", 0, 1, 2, 3), (1, w + " c", "s", 0, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_node_ string, d_ int, n_ int, m_ int, class_id int")
+    got = near.stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, *r[2:]) for r in got.collect()) == [(0, "s", 0, 1, 2, 3), (1, "s", 0, 1, 2, 3), (4, "s", 0, 1, 2, 3)]
+
+
+def test_a_key_of_many_unlike_texts(spark, monkeypatch):
+    """A passage that many texts share: few of them are similar, and those are found whatever the size of blocks."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(120)]
+    texts = []
+    for k in range(400):
+        own = [f"o{k}-{i}" for i in range(rng.choice([10, 25, 60, 100]))]
+        texts.append(" ".join(passage + own))
+        if k % 8 == 0:
+            texts.append(" ".join(passage + own + ["end"]))
+    got = []
+    for block in (1 << 19, 3000):
+        monkeypatch.setattr(near, "BLOCK_SHINGLES", block)
+        got.append(same_classes(spark, texts))
+    assert got == [True, True]
+
+
 def test_short_similar_texts_are_candidates(spark):
     texts = []
     for k in range(12):  # a word more at an end: 4 and 5, 5 and 6, 8 and 10 shingles
