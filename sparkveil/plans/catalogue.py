@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import patterns
 from ..functions import text as tx
 from ..functions import validators as va
-from ..operators import resolve, review, tokens
+from ..operators import detect, resolve, review, scan, tokens
 
 from ..sources import pages
 from ..sources.files import output_name, segments
@@ -115,7 +116,9 @@ def _ids(spark, sf_dir):
     return tokens.identities(found).select(F.col("key")[0].alias("key"), "id")
 
 
-@query("vault_roundtrip")
+@query("vault_roundtrip", f"""WITH e AS (SELECT {{'d': doc_id, 'p': position(value IN text)}} AS o, value, lower(regexp_replace(value, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS k FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents)),
+ids AS (SELECT k, row_number() OVER (ORDER BY o) AS id FROM (SELECT k, min(o) AS o FROM e GROUP BY k)), forms AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY o) AS i FROM (SELECT k, value, min(o) AS o FROM e GROUP BY k, value))
+SELECT concat('[EMAIL_', lpad(id::VARCHAR, greatest(3, length(id::VARCHAR))::INT, '0'), CASE WHEN i > 1 THEN concat('/', i) ELSE '' END, ']') AS token, value AS original FROM forms JOIN ids USING (k)""")
 def _vault(spark, sf_dir):
     from .. import vault
 
@@ -194,6 +197,103 @@ _check(
 )
 
 
+# ---------------------------------------------------------------- rules over made texts
+#: (before, value, after, whether it is found, type, score) by rule: SQL that both engines read, over k.
+def _num(factor: int, mod: int, width: int) -> str:
+    return f"lpad(cast((k * {factor}) % {mod} AS varchar(20)), {width}, '0')"
+
+
+def _two(expr: str) -> str:
+    return f"lpad(cast({expr} AS varchar(20)), 2, '0')"
+
+
+_CLUE = lambda clue, n=3: f"CASE WHEN k % {n} = 0 THEN 'udaj ' ELSE '{clue}' END"
+_HIT = "k % 3 != 0"
+_BIRTH = f"concat({_two('k % 54')}, {_two('CASE WHEN k % 10 = 0 THEN 13 ELSE 1 + k % 12 END')}, {_two('1 + k % 28')}"
+_PERSON = f"concat({_pick(['Jan', 'Petrovi', 'Mariou', 'Zuzana', 'Marek'], 'k')}, ' ', {_pick(['Novak', 'Kovacova', 'Horvath', 'Balazom'], '(k // 5)')})"
+_SURNAME = _pick(["Novak", "Kovac", "Horvath", "Balaz"], "k")
+_HOUSE = f"concat({_pick(['Hlavna', 'Dlha', 'Mlynska'], 'k')}, ' ', cast(1 + k % 900 AS varchar(20)))"
+
+
+def _ico() -> str:
+    d = _num(7919, 10000000, 7)
+    total = " + ".join(f"cast(substr({d}, {i + 1}, 1) AS int) * {8 - i}" for i in range(7))
+    return f"concat(substr({d}, 1, 2), ' ', substr({d}, 3, 3), ' ', substr({d}, 6, 2), cast(((11 - ({total}) % 11) % 10 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) % 10 AS varchar(20)))"
+
+
+def _iban(country: str, letters: int) -> str:
+    x = "((k * 7919) % 1000000000)"
+    rest = f"((((1100000000 % 97) * (10000000000 % 97) + {x}) % 97) * (1000000 % 97) + {letters}00) % 97"
+    s = f"concat('{country}', {_two(f'(98 - {rest} + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) % 100')}, '1100000000', lpad(cast({x} AS varchar(20)), 10, '0'))"
+    return "concat_ws(' ', " + ", ".join(f"substr({s}, {i}, 4)" for i in range(1, 24, 4)) + ")"
+
+
+_VAT = "concat('SK', cast(2020000004 + 11 * ((k * 7919) % 1000000) + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS varchar(20)))"
+_DATE = "concat(cast(1 + k % 28 AS varchar(20)), '. ', " + _pick([f"{m}." for m in range(1, 13)] + ["marca"], "k") + ", ' ', cast(1930 + k % 70 AS varchar(20)))"
+RULE_TEXTS = {
+    "rules_birth": {
+        "rc_slash": (_CLUE("rodne cislo "), f"{_BIRTH}, '/', {_num(7, 1000, 3)})", "' koniec'", "k % 10 != 0", "'RODNE_CISLO'", f"CASE WHEN {_HIT} THEN 0.9 ELSE 0.6 END"),
+        "rc_plain": (_CLUE("r.c. "), f"{_BIRTH}, {_num(7, 1000, 3)})", "' koniec'", f"k % 10 != 0 AND {_HIT}", "'RODNE_CISLO'", "0.9"),
+        "datum_nar": (_CLUE("nar. "), _DATE, "', trvale'", _HIT, "'DATUM_NARODENIA'", "0.9"),
+    },
+    "rules_company": {
+        "ico": (_CLUE("ICO: "), _ico(), "' koniec'", f"k % 5 != 0 AND {_HIT}", "'ICO'", "0.9"),
+        "dic": (_CLUE("DIC: "), f"concat(CASE WHEN k % 4 = 0 THEN '5' ELSE '2' END, {_num(7919, 1000000000, 9)})", "' koniec'", f"k % 4 != 0 AND {_HIT}", "'DIC'", "0.9"),
+        "ic_dph": (_CLUE("IC DPH: "), _VAT, "' koniec'", "k % 5 != 0", "'IC_DPH'", f"CASE WHEN {_HIT} THEN 1.0 ELSE 0.85 END"),
+        "organizacia": ("'firma '", f"concat({_SURNAME}, {_pick([' s.r.o.', ', a.s.', ' GmbH', ' spol. s r. o.'], '(k // 4)')})", "' a ine'", "true", "'ORGANIZACIA'", "0.7"),
+    },
+    "rules_account": {
+        "iban_sk": ("'ucet '", _iban("SK", 2820), "' koniec'", "k % 5 != 0", "'IBAN'", "0.95"),
+        "iban": ("'ucet '", _iban("CZ", 1235), "' koniec'", "k % 5 != 0", "'IBAN'", "0.9"),
+        "ucet": (_CLUE("cislo uctu "), f"concat(CASE WHEN k % 4 = 0 THEN '19-' ELSE '' END, {_num(7919, 1000000000, 10)}, '/0200')", "' koniec'", _HIT, "'UCET'", "0.85"),
+    },
+    "rules_phone": {
+        "tel_sk_intl": (_CLUE("tel. "), f"concat({_pick(['+421 ', '00421/', '+421'], 'k')}, '905 ', {_num(7, 1000, 3)}, ' ', {_num(13, 1000, 3)})", "' koniec'", "true", "'TELEFON'", "0.9"),
+        "tel_sk_pevna": (_CLUE("tel. "), f"concat({_pick(['02/', '041 / '], 'k')}, {_num(7, 1000, 3)}, ' ', {_num(13, 1000, 3)}, ' ', {_num(3, 100, 2)})", "' koniec'", "true", "'TELEFON'", f"CASE WHEN {_HIT} THEN 0.75 ELSE 0.45 END"),
+        "tel_intl": (_CLUE("kontakt "), f"concat({_pick(['+43 ', '+420-', '+1 '], 'k')}, '664 ', {_num(7, 1000, 3)}, ' ', {_num(13, 1000, 3)})", "' koniec'", "true", "'TELEFON'", f"CASE WHEN {_HIT} THEN 0.9 ELSE 0.6 END"),
+    },
+    "rules_document": {
+        "doklad": (_CLUE("obciansky preukaz "), f"concat({_pick(['EA', 'HB', 'SL '], 'k')}, {_num(7919, 1000000, 6)})", "' koniec'", _HIT, "'DOKLAD'", "0.8"),
+        "spz": (_CLUE("vozidlo "), f"concat({_pick(['BA', 'KE-', 'ZA '], 'k')}, {_num(7, 1000, 3)}, {_pick(['AB', ' XY', '-CD'], '(k // 3)')})", "' koniec'", "true", "'SPZ'", f"CASE WHEN {_HIT} THEN 0.8 ELSE 0.5 END"),
+    },
+    "rules_address": {
+        "adresa": ("'na adrese '", f"concat({_HOUSE}, ', ', {_num(7, 900, 3)}, ' ', {_num(3, 100, 2)}, ' Bratislava')", "'.'", "true", "'ADRESA'", "0.85"),
+        "ulica": ("'byva na '", f"concat({_pick(['ul. ', 'ulica '], 'k')}, {_HOUSE})", "' dnes'", "true", "'ADRESA'", "0.7"),
+        "adresa_label": (_CLUE("bydlisko: "), f"CASE WHEN k % 5 = 0 THEN 'Hlavna cesta' ELSE {_HOUSE} END", "chr(10)", f"k % 5 != 0 AND {_HIT}", "'ADRESA'", "0.8"),
+    },
+    "rules_person": {
+        "osoba_label": (_CLUE("Kupujuci: "), f"CASE WHEN k % 4 = 0 THEN concat({_SURNAME}, ' s.r.o.') ELSE {_PERSON} END", "chr(10)", _HIT, "CASE WHEN k % 4 = 0 THEN 'ORGANIZACIA' ELSE 'OSOBA' END", "0.9"),
+        "osoba_zastupeny": (_CLUE("zastupeny konatelom "), _PERSON, "', dalej'", _HIT, "'OSOBA'", "0.85"),
+        "osoba_titul": ("'podpisal '", f"concat({_pick(['Ing. ', 'Mgr. ', 'prof. MUDr. '], 'k')}, {_PERSON}, {_pick(['', ', PhD.'], '(k // 3)')})", "' dnes'", "true", "'OSOBA'", "0.85"),
+        "osoba_krstne": ("'stretol '", _PERSON, "' vcera'", "true", "'OSOBA'", "0.8"),
+    },
+    "rules_letter": {
+        "osoba_oslovenie": (_CLUE("vola pan "), _SURNAME, "' dnes'", _HIT, "'OSOBA'", "0.75"),
+        "osoba_pozdrav": (_CLUE("Ahoj "), _SURNAME, "', pisem'", _HIT, "'OSOBA'", "0.7"),
+        "osoba_podpis": (f"concat('text', chr(10), CASE WHEN {_HIT} THEN 'S pozdravom,' ELSE 'S uvahou' END, chr(10))", _PERSON, "''", _HIT, "'OSOBA'", "0.8"),
+    },
+}
+
+
+def _rules(name: str, cases: dict[str, tuple[str, ...]]) -> None:
+    def rows(wanted: Callable[..., str], source: str) -> str:
+        return " UNION ALL ".join(f"SELECT k AS id, '{rule}' AS rule, {wanted(*c)}".replace("{source}", f"(SELECT c_custkey AS k FROM {source})") for rule, c in cases.items())
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table(spark, sf_dir, "customer").createOrReplaceTempView("customer_")
+        made = spark.sql(rows(lambda a, v, z, *_: f"concat({a}, {v}, {z}) AS text FROM {{source}}", "customer_").replace("//", "div"))
+        cfg = Config(entities=frozenset(r.entity for r in patterns.rules()), threshold=0.0, propagate_names=False, as_of_year=YEAR)
+        found = detect.raw_spans(scan.scan(made, cfg), cfg).select("id", "rule", "text", F.explode("raw").alias("s")).where("s.source = rule")
+        return found.select("id", "rule", F.col("s.start").alias("start_"), F.col("s.end").alias("end_"), F.col("s.entity").alias("entity"), F.col("s.score").alias("score"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"))
+
+    span = lambda a, v, z, ok, kind, score: f"length({a})::INT AS start_, (length({a}) + length({v}))::INT AS end_, {kind} AS entity, ({score})::DOUBLE AS score, {v} AS value FROM {{source}} WHERE {ok}"
+    query(name, rows(span, "customer"))(run)
+
+
+for _name, _texts in RULE_TEXTS.items():
+    _rules(_name, _texts)
+
+
 # ---------------------------------------------------------------- context, lists, threshold
 _WORDS = ["tel", "Kontakt", "veta", "objednavka", "mobil", "cislo"]
 _TEXT = f"concat({_pick(_WORDS, 'c_custkey')}, ': 0905 ', lpad(cast(c_custkey % 1000 AS varchar(20)), 3, '0'), ' 456 koniec')"

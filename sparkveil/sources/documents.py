@@ -32,9 +32,11 @@ Plan = Callable[[str, list[str], list[str]], list[str]]
 WORD_PARTS = re.compile(r"^word/(?:document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$")
 WORD_LINKS = re.compile(r"^word/_rels/.*\.rels$")
 FIXED_MARKS = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}
-PERSONAL_HEADERS = ("Subject", "From", "To", "Cc", "Bcc", "Reply-To", "Sender", "Return-Path", "Delivered-To", "Disposition-Notification-To", "Organization", "Thread-Topic")
-ROUTING_HEADERS = ("received", "x-", "authentication-results", "dkim-signature", "arc-", "message-id", "in-reply-to", "references", "user-agent")
-INLINE = frozenset("a abbr b bdi bdo big cite code em font i mark q s small span strong sub sup u".split())
+PERSONAL_HEADERS = ("Subject", "From", "To", "Cc", "Bcc", "Reply-To", "Sender", "Return-Path", "Delivered-To", "X-Original-To", "Disposition-Notification-To", "Thread-Topic")
+ROUTING_HEADERS = ("received", "x-received", "x-originating-ip", "x-sender-ip", "authentication-results", "received-spf", "dkim-signature", "x-google-dkim-signature", "arc-", "x-ms-exchange-", "x-microsoft-antispam", "x-forefront-", "x-ms-", "x-gm-", "x-google-smtp-source", "x-mailgun-", "x-ses-")
+INLINE = frozenset("a b i u em strong span font small big sub sup mark abbr code s strike label q cite".split())
+#: Further headers that identify a sender, left unread by the rules above.
+TRACING_HEADERS = ("message-id", "in-reply-to", "references", "user-agent")
 SILENT = frozenset("script style head meta".split())
 ANONYMOUS = "Anonym"
 
@@ -101,7 +103,10 @@ def docx(data: bytes, plan: Plan, scrub: bool, warn: list[str]) -> bytes:
     if old:
         for (n, p), a, b in zip(paragraphs, old, plan("odsek", old, ["\n"] * len(old)), strict=True):
             if a != b:
-                changes.setdefault(n, []).extend(_spread(p, a, b))
+                runs = _spread(p, a, b)
+                # blanks at the edges of a rewritten run count
+                tags = {x: texts[n][texts[n].rfind("<", 0, x) : x] for x, _, _ in runs}
+                changes.setdefault(n, []).extend(runs + [(x - 1, x - 1, ' xml:space="preserve"') for x, tag in tags.items() if "xml:space" not in tag])
     single = [(n, r"<w:instrText(?:\s[^>]*)?>(.*?)</w:instrText>", "pole") for n in texts if WORD_PARTS.match(n)]
     single += [(n, r'<Relationship\b(?=[^>]*TargetMode="External")[^>]*\bTarget="([^"]*)"', "odkaz") for n in texts if WORD_LINKS.match(n)]
     single += [("docProps/core.xml", rf"<(?:dc:{k}|cp:{k})(?:\s[^>]*)?>(.*?)</", "metadata") for k in ("title", "subject", "description", "keywords") if "docProps/core.xml" in texts]
@@ -207,7 +212,7 @@ def eml(data: bytes, plan: Plan, scrub: bool, warn: list[str]) -> bytes:
 
 def _message(msg, plan: Plan, scrub: bool, warn: list[str]) -> None:
     if scrub:
-        for k in {k for k in msg.keys() if k.lower().startswith(ROUTING_HEADERS)}:
+        for k in {k for k in msg.keys() if k.lower().startswith(ROUTING_HEADERS + TRACING_HEADERS)}:
             del msg[k]
     for k in PERSONAL_HEADERS:
         if msg.get_all(k):

@@ -38,6 +38,7 @@ def mail(docx: bytes) -> bytes:
     m = EmailMessage()
     m["Subject"], m["From"], m["To"] = "Zmluva: pán Novák", "jan.novak@example.sk", "x@y.sk"
     m["Received"], m["X-Originating-IP"] = "from 1.2.3.4", "1.2.3.4"
+    m["X-Original-To"], m["X-Topic"] = "jan.novak@example.sk", "notes"
     m.set_content("Dobrý deň,\nvolal pán Novák, tel. 0905 123 456\n")
     m.add_alternative('<p>Volal pán <b>Novák</b></p><!-- c -->píšte <a href="mailto:jan.novak@example.sk">sem</a>', subtype="html")
     m.add_attachment(docx, maintype="application", subtype="vnd.docx", filename="zmluva_pan_Novak.docx")
@@ -88,6 +89,8 @@ def test_anonymize_and_restore(spark, folder, tmp_path, monkeypatch):
             assert not any(o in text for o in ORIGINALS), p.name
     sent = email.message_from_bytes((out / "c_anonym.eml").read_bytes())
     assert sent["Received"] is None and sent["X-Originating-IP"] is None and "PNG" not in str(sent)
+    assert sent["X-Original-To"].startswith("[EMAIL_") and sent["X-Topic"] == "notes"
+    assert 'xml:space="preserve">[OSOBA' in plain("b.docx", (out / "b_anonym.docx").read_bytes()).replace("Predávajúci: ", "")
     assert "Novák" not in (out / "a_anonym.report.json").read_text()
     monkeypatch.setenv("VEIL_PASSPHRASE", "wrong")
     with pytest.raises(Exception):
