@@ -209,7 +209,8 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     lo = scratch.table(firsts.select("key", "s1", "s2", F.col("d").alias("lo")).join(found, ["key", "s1", "s2"], "left"), "lo")
     gone = light.join(lo.hint("merge"), ["key", "s1", "s2"]).where("d > lo OR ranges IS NOT NULL")
     gone = gone.select("d", "t", F.expr(f"CASE WHEN d > lo THEN array(named_struct('a', at, 'b', at + n + {WINDOW - 1})) ELSE transform(ranges, r -> named_struct('a', at + r.a, 'b', at + r.b + {WINDOW})) END").alias("g"))
-    gone = scratch.table(gone.groupBy("d", "t").agg(F.flatten(F.collect_list("g")).alias("gone")), "gone")  # of one document
+    # of one document: what its repeated rows give is the same, and is held once
+    gone = scratch.table(gone.groupBy("d", "t").agg(F.flatten(F.collect_set("g")).alias("gone")), "gone")
     return rows.join(gone.hint("merge"), ["d", "t"], "left").select("doc_id", "text", "gone").mapInArrow(_kept, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, runs array<struct<a:long,b:long>>")
 
 

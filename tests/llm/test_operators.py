@@ -506,10 +506,13 @@ def brute_windows(rows, size=50):
 
 
 @pytest.mark.parametrize("hot", [4000, 0])
-def test_substrings(spark, docs, rows, none, hot, monkeypatch):
+def test_substrings(spark, rows, none, hot, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 400)
-    assert multiset(substrings.dedup(spark, docs).drop("runs")) == brute_windows(rows)
+    page = " ".join(f"b{i}" for i in range(80))
+    many = rows + [(None, page, None, None, 1, 1, 1)] * 25 + [(None, f"{page} {k}", None, None, 1, 1, 1) for k in range(5)] + [(950, page + " end", None, None, 1, 1, 1)] * 2
+    df = spark.createDataFrame([(*r, "x", 1) for r in many], DOCS + ", t string, gone int").repartition(3)
+    assert multiset(substrings.dedup(spark, df).drop("runs")) == brute_windows(many)
     assert substrings.dedup(spark, none).count() == 0
 
 
@@ -608,31 +611,67 @@ def test_documents_with_one_item_each_are_removed(spark):
 
 
 # ------------------------------------------------------------------ 10
-def test_media(spark, docs, rows, none):
-    def run(df):
-        scratch = media.Scratch(spark, "test")
-        made, store, refs, loans = media.store(spark, df, scratch)
-        return made, media.read_back(store, refs, loans, scratch)
+def slow_cuts(data):
+    """Ends of chunks by the gear hash one byte at a time: its 32 bits hold the last 32 bytes."""
+    out, start, h = [], 0, 0
+    for i, c in enumerate(data):
+        h = ((h << 1) + int(media._GEAR[c])) & 0xFFFFFFFF
+        n = i + 1 - start
+        if len(data) - start <= media.LEAST:
+            break
+        if n >= media.LEAST and (h >> 16) & int(media.MASK) == 0 or n == media.MOST:
+            out.append(i + 1)
+            start = i + 1
+    return out + ([len(data)] if start < len(data) else [])
+
 
+def brute_media(rows):
+    """All columns of the query, by text: owners are the least (key, place) of a chunk's name, keys being digests of chunk lists."""
+    payloads = {}
+    for _, t, *_ in rows:
+        raw = (t or "").encode()
+        data = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        ends = slow_cuts(data)
+        chunks = [data[a:e] for a, e in zip([0, *ends], ends)]
+        names = [hashlib.sha256(c).digest() for c in chunks]
+        payloads[media.key_of(len(raw), names)] = (raw, data, chunks, names)
+    owner = {}
+    for key in sorted(payloads):
+        for k, d in enumerate(payloads[key][3]):
+            owner.setdefault(d, (key, k))
+    out = {}
+    for key, (raw, data, chunks, names) in payloads.items():
+        away = {k for k, d in enumerate(names) if owner[d] != (key, k)}
+        form = media.stored(len(raw), list(zip(names, chunks)), away)
+        counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        x, p = np.frombuffer(data, np.uint8).astype(float), counts[counts > 0] / len(data)
+        feature = f"chunks={len(chunks)};mean={x.mean():.4f};std={x.std():.4f};entropy={-(p * np.log2(p)).sum():.4f}"
+        out[raw] = (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature)
+    return Counter((i, *out[(t or "").encode()]) for i, t, *_ in rows)
+
+
+def test_media(spark, rows, tmp_path, none):
     rng = random.Random(1)
     block = "".join(rng.choice("abcdefgh ") for _ in range(30000))
-    big = [(2000, block, None, None, 0, 0, 0), (2001, "x" + block, None, None, 0, 0, 0), (2002, block + "y", None, None, 0, 0, 0), (2003, block[:200] + "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), None, None, 0, 0, 0)]
-    df = docs.union(spark.createDataFrame(big, DOCS))
-    made, back = run(df)
-    by = {bytes(r["key"]): r for r in back.collect()}
-    texts = {r[0]: r[1] for r in rows + big}
-    assert made.count() == len(rows) + len(big)
-    for r in made.collect():
-        raw = (texts[r["doc_id"]] or "").encode()
-        data = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
-        b = by[bytes(r["key"])]
-        assert (r["n_bytes"], b["payload_bytes"], bytes(b["payload_sha256"]), b["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-16:]))
-    _, store, _, _ = media.store(spark, df, media.Scratch(spark, "test"))
-    held = sum(len(p) for r in store.collect() for p in r["parts"] if p is not None)
-    assert held < sum(b["payload_bytes"] for b in by.values()) - 40000  # shifted copies share their chunks
-    assert run(none)[0].count() == 0 and run(none)[1].count() == 0
+    many = rows + [(2000, block, None, None, 0, 0, 0), (2001, "x" + block, None, None, 0, 0, 0), (2002, block + "y", None, None, 0, 0, 0), (2003, block[:200] + "😀", None, None, 0, 0, 0), (2004, block, None, None, 0, 0, 0)]
+    many += [(None, block[5000:] + str(k % 3), None, None, 0, 0, 0) for k in range(12)] + [(None, None, None, None, 0, 0, 0)] * 3
+    spark.createDataFrame(many, DOCS + "").withColumn("t", F.lit(1)).withColumn("key", F.lit("k")).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = media.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert multiset(got) == brute_media(many)
+    scratch = media.Scratch(spark, "test")
+    made, store, refs, loans = media.store(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), scratch)
+    assert made.count() == len(many) and store.count() == store.select("key").distinct().count()
+    held, whole = store.agg(F.sum(F.length("media"))).first()[0], sum({r["media_sha256"]: r["payload_bytes"] for r in got.collect()}.values())
+    assert held < whole - 40000  # shifted copies share their chunks
+    made, store, refs, loans = media.store(spark, none, scratch)
+    assert made.count() == store.count() == media.read_back(store, refs, loans, scratch).count() == 0
     data, n = media.payload(block)
-    form = media.container(n, media.chunked(data))
-    assert media.opened(form) == (n, data)
+    form = media.stored(n, media.chunked(data), {1})
+    lent = {1: media.chunked(data)[1][1]}
+    assert media.opened(form, lent) == (n, data)
+    for bad in (form[:-5] + b"?" + form[-4:], form[:-1]):
+        with pytest.raises(ValueError):
+            media.opened(bad, lent)
     with pytest.raises(ValueError):
-        media.opened(form[:-5] + b"?" + form[-4:])
+        media.opened(form)
