@@ -65,11 +65,12 @@ def _filter(spark: SparkSession, hashes: DataFrame):
     rows = hashes.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("v")).collect()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[[r["i"] for r in rows]] = [r["v"] for r in rows]
-    return spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+    return spark.sparkContext.broadcast(bits.view(np.uint64))
 
 
 def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
+    low = h & np.uint64(64 * len(bits) - 1)
+    return np.flatnonzero((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
 
 
 def _join_sized(left: DataFrame, small: DataFrame, cost, on, how: str = "inner") -> DataFrame:

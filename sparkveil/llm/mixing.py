@@ -54,16 +54,19 @@ def _log_factorial(n: str) -> str:
 
 
 def _hypergeometric(total: str, good: str, drawn: str, u: str) -> str:
-    """SQL for a draw: of `total` blocks, `good` of one source, `drawn` go left; the smallest k whose distribution function reaches u.
+    """SQL for a draw: of `total` blocks, `good` of one kind, `drawn` go left; the smallest k whose distribution function reaches u.
 
-    Only k within 16 standard deviations and 32 of the mean are summed; what lies beyond is less than the precision of a double."""
+    Only k within 10 standard deviations and 12 of the mean are summed; what lies beyond is less than the precision of a double. The first probability comes
+    from logarithms of factorials, each later one from the one before."""
     lo, hi = f"greatest(0L, {drawn} + {good} - {total})", f"least({good}, {drawn})"
     mean = f"({drawn} * cast({good} AS double) / greatest({total}, 1L))"
-    wide = f"(32 + 16 * sqrt({mean} * (1 - {good} / cast(greatest({total}, 1L) AS double)) + 1))"
+    wide = f"(12 + 10 * sqrt({mean} * (1 - {good} / cast(greatest({total}, 1L) AS double)) + 1))"
     a, b = f"greatest({lo}, cast(floor({mean} - {wide}) AS bigint))", f"least({hi}, cast(ceil({mean} + {wide}) AS bigint))"
-    lf = _log_factorial
-    p = f"exp({lf(good)} - ({lf('k')}) - ({lf(f'({good} - k)')}) + ({lf(f'({total} - {good})')}) - ({lf(f'({drawn} - k)')}) - ({lf(f'({total} - {good} - {drawn} + k)')}) - (({lf(total)}) - ({lf(drawn)}) - ({lf(f'({total} - {drawn})')})))"
-    return f"aggregate(sequence({a}, {b}), named_struct('f', 0.0D, 'k', {b}, 'done', false), (z, k) -> CASE WHEN z.done THEN z WHEN z.f + {p} >= {u} THEN named_struct('f', z.f, 'k', k, 'done', true) ELSE named_struct('f', z.f + {p}, 'k', {b}, 'done', false) END, z -> z.k)"
+    logs = f"transform(array({good}, a0, {good} - a0, {total} - {good}, {drawn} - a0, {total} - {good} - {drawn} + a0, {total}, {drawn}, {total} - {drawn}), n -> {_log_factorial('n')})"
+    p0 = f"transform(array({logs}), l -> exp(l[0] - l[1] - l[2] + l[3] - l[4] - l[5] - l[6] + l[7] + l[8]))[0]"
+    ratio = f"cast({good} - k AS double) * ({drawn} - k) / (cast(k + 1 AS double) * ({total} - {good} - {drawn} + k + 1))"
+    step = f"CASE WHEN z.done THEN z WHEN z.f + z.p >= {u} THEN named_struct('f', z.f, 'p', z.p, 'k', k, 'done', true) ELSE named_struct('f', z.f + z.p, 'p', z.p * {ratio}, 'k', z.k, 'done', false) END"
+    return f"transform(array({a}), a0 -> aggregate(sequence(a0, {b}), named_struct('f', 0.0D, 'p', {p0}, 'k', {b}, 'done', false), (z, k) -> {step}, z -> z.k))[0]"
 
 
 def _halved(levels: int, u: str) -> str:
