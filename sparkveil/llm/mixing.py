@@ -166,5 +166,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = out.withColumn("text", F.expr(f"CASE WHEN {whole} THEN text ELSE {cut} END"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr(f"CASE WHEN {whole} THEN n_chars ELSE length(text) END").cast(docs.schema["n_chars"].dataType))
-    # a shard is dealt in slices of its shuffle, however large it is
-    return out.repartition(shard, F.expr(f"pmod(`{place}`, 64L)")).sortWithinPartitions(shard, place).select(*docs.columns)
+    # a shard is dealt in slices of its shuffle, more of them the larger it is
+    slices = max(64, numbered.count() // (SHARDS * 4096))
+    return out.repartition(shard, F.expr(f"pmod(`{place}`, {slices}L)")).sortWithinPartitions(shard, place).select(*docs.columns)

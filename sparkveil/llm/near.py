@@ -28,7 +28,7 @@ SHINGLE, SIMILARITY, BANDS, ORDERED = 5, 0.8, 40, 6
 #: Pairs whose smaller text has fewer shingles meet by a prefix filter, which loses none; the larger one has up to 5/4 as many.
 SHORT = 100
 #: Shingles of a block of a key, and of a task.
-BLOCK_SHINGLES, TASK_SHINGLES = 1 << 19, 1 << 22
+BLOCK_SHINGLES, TASK_SHINGLES = 1 << 19, 1 << 20
 _seeds = np.random.default_rng(11).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 _ORDER = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, ORDERED + 1)], dtype=np.uint64)
 
