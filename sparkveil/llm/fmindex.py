@@ -45,21 +45,42 @@ class WaveletMatrix:
         return i - self.first[c]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` symbols at least, by doubling."""
-    rank = text.astype(np.int64)
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first `depth` symbols at least, by doubling, and the symbols that each shares with the one before it, -1 at both ends."""
     n, k = len(text), 1
+    ranks = [np.append(text.astype(np.int64), -1)]  # by the first 1, 2, 4, .. symbols; what is past the end is like nothing
     while True:
+        rank = ranks[-1]
         after = np.full(n, -1, dtype=np.int64)
-        after[: n - k if k < n else 0] = rank[k:]
-        key = rank * (n + int(rank.max()) + 2) + after + 1
+        after[: n - k if k < n else 0] = rank[k:n]
+        key = rank[:n] * (n + int(rank.max()) + 2) + after + 1
         order = np.argsort(key, kind="stable")
         step = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, dtype=np.int64)
+        rank = np.full(n + 1, -1, dtype=np.int64)
         rank[order] = step
+        ranks.append(rank)
         k *= 2
         if k >= depth or step[-1] == n - 1:
-            return order
+            break
+    shared = np.zeros(n + 1, dtype=np.int32)
+    x, y = order[:-1].copy(), order[1:].copy()
+    for level in range(len(ranks) - 1, -1, -1):
+        same = (ranks[level][x] == ranks[level][y]).astype(np.int64) << level
+        x, y = x + same, y + same
+    shared[1:n] = y - order[1:]
+    shared[0] = shared[n] = -1
+    return order, shared
+
+
+def nearest_less(x: np.ndarray) -> np.ndarray:
+    """For each place, the last one before it that holds less; the first place holds the least of all and gets 0."""
+    out = np.maximum(np.arange(len(x)) - 1, 0)
+    todo = np.flatnonzero(x[out] >= x)
+    todo = todo[x[todo] > x[0]]
+    while len(todo):  # between a place and the one it points to, nothing is less than at the place
+        out[todo] = out[out[todo]]
+        todo = todo[x[out[todo]] >= x[todo]]
+    return out
 
 
 class FMIndex:
@@ -68,7 +89,8 @@ class FMIndex:
     `codes` are the words of all pieces, from 1 up, each piece ended by a 0; `owner` is the owner of each position."""
 
     def __init__(self, codes: np.ndarray, owner: np.ndarray, depth: int):
-        sa = suffix_array(codes, depth)
+        sa, self.shared = suffix_array(codes, depth)
+        self.left, self.right = nearest_less(self.shared), len(codes) - nearest_less(self.shared[::-1])[::-1]
         sigma = int(codes.max()) + 1
         self.bwt = WaveletMatrix(codes[sa - 1], sigma)
         count = np.bincount(codes, minlength=sigma)
@@ -92,21 +114,28 @@ class FMIndex:
         n = len(c)
         return self.start[c] + r[:n], self.start[c] + r[n:]
 
-    def occurs_before(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Whether codes[a:b] occurs in a piece with an owner less than `owner`, for each pattern: backward from b, until an
-        extension leaves no such occurrence."""
-        ok = np.zeros(len(a), dtype=bool)
-        lane = np.arange(len(a))
-        at = b.copy()
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.size, np.int64)
+    def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes that share the longest prefix of what [lo, hi) have in common that more suffixes begin with, and its length."""
+        k = np.where(self.shared[lo] >= self.shared[hi], lo, hi)
+        return self.left[k], self.right[k], self.shared[k]
+
+    def matching_statistics(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray:
+        """For each place in codes, the length of the longest match from there on, within its pattern codes[start:end], that occurs in a piece with
+        an owner less than the pattern's. Each pattern is read once, from its end: a match grows to the left as long as it occurs, and
+        else gives up words on its right. A pattern is left, with 0, where no match of `least` words can begin any more."""
+        out = np.zeros(len(codes), dtype=np.int32)
+        lane = np.flatnonzero(end - start >= least)
+        at = end[lane] - 1
+        lo, hi, size = np.zeros(len(lane), np.int64), np.full(len(lane), self.size, np.int64), np.zeros(len(lane), np.int64)
         while len(lane):
-            at = at - 1
-            lo, hi = self.extend_left(codes[at], lo, hi)
-            live = hi > lo
-            lane, at, lo, hi = lane[live], at[live], lo[live], hi[live]
-            live = self.least_owner(lo, hi) < owner[lane]
-            lane, at, lo, hi = lane[live], at[live], lo[live], hi[live]
-            done = at <= a[lane]
-            ok[lane[done]] = True
-            lane, at, lo, hi = lane[~done], at[~done], lo[~done], hi[~done]
-        return ok
+            x, y = self.extend_left(codes[at], lo, hi)
+            fits = y > x
+            fits[fits] = self.least_owner(x[fits], y[fits]) < owner[lane[fits]]
+            lo, hi, size = np.where(fits, x, lo), np.where(fits, y, hi), size + fits
+            up = ~fits & (size > 0)
+            lo[up], hi[up], size[up] = self.parent(lo[up], hi[up])
+            out[at[~up]] = np.where(fits, size, 0)[~up]
+            at = at - ~up
+            live = (at >= start[lane]) & (at + 1 + size >= start[lane] + least)
+            lane, at, lo, hi, size = lane[live], at[live], lo[live], hi[live], size[live]
+        return out

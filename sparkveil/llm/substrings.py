@@ -3,9 +3,9 @@
 A window is 50 consecutive words. Its least 16-word hash is its anchor; equal windows have equal anchors, so that only windows whose anchor
 occurs in two documents can repeat. Consecutive windows of one anchor are a segment. Equal segments are collapsed to the least
 document; the distinct ones are dealt by anchor to shards of bounded size. A shard's segments are indexed, and each is streamed
-through backward search: matched stretches that occur in a document with a smaller id are found for ranges of windows at a
-time, by the words that all of them share, then by all that they cover, then by halves. Windows of an anchor with very many
-different segments are segments of their own, under their own hash.
+through backward search, which gives its matching statistics: from each word, the length of the longest match that occurs in a
+document with a smaller id. Stretches of 50 words and more are reported. Windows of an anchor with very many different segments
+are segments of their own, under their own hash.
 """
 
 from __future__ import annotations
@@ -127,21 +127,13 @@ def repeated_windows(pieces_: list[np.ndarray], owner: np.ndarray) -> list[list[
         codes[s : s + len(p)] = p
     _, rank = np.unique(owner, return_inverse=True)
     index = FMIndex(codes, np.repeat(rank, length + 1), int(length.max()) + 2)
-    lane, a, b = np.arange(len(pieces_)), np.zeros(len(pieces_), np.int64), length - WINDOW
+    match = index.matching_statistics(codes, base, base + length, rank, WINDOW)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (match >= WINDOW).astype(np.int8), [0]]))).reshape(-1, 2)  # a match ends with its piece, where a 0 follows
+    of = np.searchsorted(base, edge[:, 0], side="right") - 1
     out: list[list[tuple[int, int]]] = [[] for _ in pieces_]
-    while len(lane):
-        # the words that all windows of the range share; if there are none, those of the middle window do as well as any
-        core = base[lane] + np.minimum(b, a + WINDOW - 1), base[lane] + a + WINDOW
-        live = index.occurs_before(codes, *core, rank[lane])
-        lane, a, b = lane[live], a[live], b[live]
-        whole = index.occurs_before(codes, base[lane] + a, base[lane] + b + WINDOW, rank[lane])
-        for k, x, y in zip(lane[whole].tolist(), a[whole].tolist(), b[whole].tolist(), strict=True):
-            out[k].append((x, y))
-        more = ~whole & (b > a)
-        lane, a, b = lane[more], a[more], b[more]
-        mid = (a + b) // 2
-        lane, a, b = np.concatenate([lane, lane]), np.concatenate([a, mid + 1]), np.concatenate([mid, b])
-    return [sorted(x) for x in out]
+    for k, x, y in zip(of.tolist(), (edge[:, 0] - base[of]).tolist(), (edge[:, 1] - 1 - base[of]).tolist(), strict=True):
+        out[k].append((x, y))
+    return out
 
 
 def _shard(table: pa.Table) -> pa.Table:

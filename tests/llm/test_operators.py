@@ -526,6 +526,21 @@ def test_fm_index_against_scanning():
         for p, o, ranges in zip(pieces, owner, got, strict=True):
             want = {k for k in range(len(p) - 49) if any(q < o and any((p[k : k + 50] == x[j : j + 50]).all() for j in range(len(x) - 49)) for x, q in zip(pieces, owner, strict=True))}
             assert {k for a, b in ranges for k in range(a, b + 1)} == want
+    # the length of every match against brute force, for patterns of few words, which share much
+    for sigma in (1, 2, 3, 5):
+        parts = [rng.integers(1, sigma + 1, int(k)) for k in rng.integers(1, 25, 30)]
+        owner = np.sort(rng.integers(0, 12, 30)) if sigma == 2 else rng.integers(0, 12, 30)
+        length = np.array([len(x) for x in parts])
+        start = np.cumsum(length + 1) - length - 1
+        codes = np.concatenate([np.append(x, 0) for x in parts])
+        index = fmindex.FMIndex(codes, np.repeat(owner, length + 1), int(length.max()) + 2)
+        for least in (1, 6):
+            got = index.matching_statistics(codes, start, start + length, owner, least)
+            for x, o, s in zip(parts, owner, start, strict=True):
+                before = {tuple(y[i:j]) for y, p in zip(parts, owner, strict=True) if p < o for i in range(len(y)) for j in range(i + 1, len(y) + 1)}
+                want = [max((j - i for j in range(i + 1, len(x) + 1) if tuple(x[i:j]) in before), default=0) for i in range(len(x))]
+                assert [m if m >= least else 0 for m in got[s : s + len(x)].tolist()] == [m if m >= least else 0 for m in want]
+                assert all(g in (0, m) for g, m in zip(got[s : s + len(x)].tolist(), want, strict=True))
     wm = fmindex.WaveletMatrix(s := rng.integers(0, 9, 300), 9)
     assert all(wm.rank(np.array([c]), np.array([i]))[0] == (s[:i] == c).sum() for c in range(9) for i in (0, 1, 64, 128, 299, 300))
 
