@@ -183,14 +183,18 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("t"))
     anchors = scratch.table(rows.select("text", "d", "t").mapInArrow(_anchors, "anchor long, d long, t long, s long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.approx_count_distinct("s").alias("c")).where("lo < hi").select("anchor", (F.col("c") > HOT).alias("hot"))
-    shared = bounded(scratch.table(shared, "shared"), 24)
-    lists = anchors.join(shared, "anchor").groupBy("d", "t").agg(F.collect_set(F.expr("CASE WHEN NOT hot THEN anchor END")).alias("shared"), F.collect_set(F.expr("CASE WHEN hot THEN anchor END")).alias("hot"))  # of one document
+    shared = scratch.table(shared, "shared")
+    lists = anchors.join(bounded(shared, 24), "anchor").groupBy("d", "t").agg(F.collect_set(F.expr("CASE WHEN NOT hot THEN anchor END")).alias("shared"), F.collect_set(F.expr("CASE WHEN hot THEN anchor END")).alias("hot"))  # of one document
     lists = scratch.table(lists, "lists")
     scratch.drop(anchors)
+    scratch.drop(shared)
     light = scratch.table(rows.join(lists.hint("merge"), ["d", "t"]).select("text", "d", "t", "shared", "hot").mapInArrow(_segments, "key long, s1 long, s2 long, d long, t long, at int, n int"), "segments")
+    scratch.drop(lists)
     alone = light.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("key")
     firsts = light.groupBy("key", "s1", "s2", "n").agg(F.min(F.struct("d", "t", "at")).alias("f")).select("key", "s1", "s2", "n", "f.*")
-    firsts = scratch.table(firsts.join(bounded(scratch.table(alone, "keys"), 16), "key"), "firsts")
+    alone = scratch.table(alone, "keys")
+    firsts = scratch.table(firsts.join(bounded(alone, 16), "key"), "firsts")
+    scratch.drop(alone)
     words = firsts.agg(F.coalesce(F.sum(F.col("n") + WINDOW - 1), F.lit(0))).first()[0]
     shards = max(1, -(-words // SHARD_WORDS))
     of = scratch.table(firsts.groupBy("d", "t").agg(F.collect_list(F.struct("key", "s1", "s2", "d", "at", "n")).alias("segs")), "of")
@@ -198,11 +202,16 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     contents = contents.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards}L)"))
     found = contents.groupBy("shard").applyInArrow(_shard, "key long, s1 long, s2 long, ranges array<struct<a:int,b:int>>")
     found = scratch.table(found.dropDuplicates(["key", "s1", "s2"]), "found")
+    scratch.drop(of)
     lo = scratch.table(firsts.select("key", "s1", "s2", F.col("d").alias("lo")).join(found, ["key", "s1", "s2"], "left"), "lo")
+    scratch.drop(firsts)
+    scratch.drop(found)
     gone = light.join(lo.hint("merge"), ["key", "s1", "s2"]).where("d > lo OR ranges IS NOT NULL")
     gone = gone.select("d", "t", F.expr(f"CASE WHEN d > lo THEN array(named_struct('a', at, 'b', at + n + {WINDOW - 1})) ELSE transform(ranges, r -> named_struct('a', at + r.a, 'b', at + r.b + {WINDOW})) END").alias("g"))
     # of one document: what its repeated rows give is the same, and is held once
     gone = scratch.table(gone.groupBy("d", "t").agg(F.flatten(F.collect_set("g")).alias("gone")), "gone")
+    scratch.drop(light)
+    scratch.drop(lo)
     return rows.join(gone.hint("merge"), ["d", "t"], "left").select("doc_id", "text", "gone").mapInArrow(_kept, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, runs array<struct<a:long,b:long>>")
 
 
