@@ -423,6 +423,41 @@ def test_patience_and_licenses(spark):
     assert [x for d, _, x in got if d == 6 and x.startswith("GPL")] == ["GPL-3.0:20000:20012"]
 
 
+def common(a, b):
+    """Words of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_every_stretch():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        t = [f"t{i}" for i in rng.permutation(40)[: rng.integers(5, 16)]]
+        body = [w for w in t if rng.random() > rng.choice([0.0, 0.1, 0.25])]
+        for _ in range(rng.integers(0, 3 * len(t))):  # other words in between
+            body.insert(rng.integers(0, len(body) + 1), f"x{rng.integers(50)}")
+        noise = lambda: [f"x{k}" if rng.random() < 0.9 else rng.choice(t) for k in rng.integers(0, 50, rng.integers(0, 40))]  # noqa: B023, E731
+        text = [*noise(), *body, *noise()]
+        scanner = licenses.Scanner({"T": " ".join(t)})
+        data = np.frombuffer(" ".join(text).encode(), np.uint8)
+        h = words.Words(data, np.array([0, len(data)]), words.FOLDED).hash
+        found = scanner.scan(h, scanner.marked(h))
+        need, longest = -(-8 * len(t) // 10), 3 * len(t)
+        assert all(y - x <= longest and common(text[x:y], t) >= need for _, _, x, y in found)
+        assert bool(found) == any(common(text[x : x + longest], t) >= need for x in range(len(text)))
+
+
+def test_licenses_of_one_family_are_told_apart(spark):
+    rows = [(n, f"some words before {text} and some after it") for n, text in licenses.TEMPLATES.items()]
+    got = licenses.scan(spark, spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r["doc_id"] for r in got if r["license"] != r["doc_id"] and not r["licenses"].startswith(r["doc_id"])] == []
+
+
 def test_repeated_licenses_are_all_found():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     for name in licenses.TEMPLATES:
