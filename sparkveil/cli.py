@@ -8,6 +8,7 @@ import json
 import os
 import sys
 from dataclasses import replace
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -49,16 +50,16 @@ def anonymize(spark: SparkSession, a: argparse.Namespace) -> int:
         old = vaults.load(spark, path, word) if path.exists() else None
     out, findings, new = runs.anonymize_files(spark, a.inputs, a.mode, settings(a), old)
     told = runs.save(out, a.output)
-    by_file: dict[str, list[dict]] = {}
-    for r in findings.toLocalIterator():
-        by_file.setdefault(r["name"], []).append({k: r[k] for k in ("where", "entity", "score", "source", "token")})
-    for name, found in by_file.items():
+    total = 0
+    for name, rows in groupby(findings.orderBy("name", "doc_seq", "unit_seq", "start").toLocalIterator(), lambda r: r["name"]):  # of one file at a time
+        found = [{k: r[k] for k in ("where", "entity", "score", "source", "token")} for r in rows]
+        total += len(found)
         (Path(a.output) / f"{Path(name).stem}_anonym.report.json").write_text(json.dumps({"file": name, "engine": "rules", "mode": a.mode, "findings": found}, ensure_ascii=False, indent=1), encoding="utf-8")
     if new is not None:
         vaults.save(spark, new, path, word)
     for name, error, warnings in told:
         print(f"{name}: {error or 'written'}", *[f"  ! {w}" for w in warnings], sep="\n", file=sys.stderr if error else sys.stdout)
-    print(f"{sum(map(len, by_file.values()))} replacements")
+    print(f"{total} replacements")
     return int(any(error for _, error, _ in told))
 
 

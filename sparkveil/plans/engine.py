@@ -12,7 +12,7 @@ from ..config import Config
 from ..operators import review, rewrite, tokens
 from ..operators.detect import detect
 from ..operators.ner import Model
-from .tables import spread, written
+from .tables import apart, discard, spread, written
 
 
 def as_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,6 +26,11 @@ class Run:
     spans: DataFrame
     tokens: DataFrame
     vault: dict[str, DataFrame] | None
+    folder: str
+
+    def discard(self) -> None:
+        """Removes the run's tables of spans, keys and tokens, which hold originals. What is read from the run, the vault too, must be written before."""
+        discard(self.units.sparkSession, self.folder)
 
     @property
     def findings(self) -> DataFrame:
@@ -45,12 +50,13 @@ class Engine:
         return tokens.occurrences(detect(units, self.cfg, known, self.model))
 
     def anonymize(self, units: DataFrame, mode: str, vault: dict[str, DataFrame] | None = None) -> Run:
-        """units with tokens for spans. reversible: the run's vault continues the given one; irreversible: no vault, and no table of originals is kept beyond the run's own tables."""
-        found = written(self.scan(units, vault["stems"] if vault else None), "spans")
-        named = tokens.assign(found, mode, self.cfg.numbered_tokens, vault)
-        out = rewrite.apply_tokens(units, found, named)
-        kept = tokens.vault_tables(named, vault) if mode == "reversible" else None
-        return Run(out, found, named, kept)
+        """units with tokens for spans. reversible: the run's vault continues the given one; irreversible: no vault, and no table of originals is kept beyond the run's own tables, which discard() removes."""
+        with apart() as folder:
+            found = written(self.scan(units, vault["stems"] if vault else None), "spans")
+            named = tokens.assign(found, mode, self.cfg.numbered_tokens, vault)
+            out = rewrite.apply_tokens(units, found, named)
+            kept = tokens.vault_tables(named, vault) if mode == "reversible" else None
+        return Run(out, found, named, kept, folder)
 
     def restore(self, units: DataFrame, vault: dict[str, DataFrame]) -> DataFrame:
         return rewrite.restore(units, tokens.token_of(vault["variants"]))

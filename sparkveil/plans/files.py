@@ -14,7 +14,7 @@ from ..operators.tokens import token_of
 from ..sources import documents
 from ..sources.files import collect, output_name
 from .engine import Engine
-from .tables import written
+from .tables import apart, discard, written
 
 
 def _units(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,14 +24,18 @@ def _units(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def anonymize_files(spark: SparkSession, inputs: list[str], mode: str, cfg: Config | None = None, vault: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame] | None]:
     """(files, findings, vault): doc_seq, name, content, warnings, error of the written files; a row a replacement; and in reversible mode the vault.
-    A file that fails has an error and no content; the others go on."""
+    A file that fails has an error and no content; the others go on. In irreversible mode no table with originals is left."""
     files = collect(spark, inputs)
-    units, _ = _units(files)
+    with apart() as texts:
+        units, _ = _units(files)
     engine = Engine(spark, cfg)
     run = engine.anonymize(units.select("doc_seq", "unit_seq", "where", "text"), mode, vault)
     reps = written(run.units.where("size(reps) > 0").select("doc_seq", "unit_seq", "where", "reps"), "reps")
     out = written(documents.write(files, reps), "files")
     named = reps.join(files.select("doc_seq", "name"), "doc_seq")
+    discard(spark, texts)
+    if mode == "irreversible":
+        run.discard()
     return out.withColumn("name", output_name(F.col("name"), "anonymized")), review.findings(named), run.vault
 
 

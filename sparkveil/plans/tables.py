@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 #: Largest estimated size of a side that is broadcast.
 BROADCAST_BYTES = 32 << 20
 _local: dict[str, str] = {}
+_folder: ContextVar[str] = ContextVar("folder", default="veil")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,11 +36,28 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, whatever executors are lost later."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/veil/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{_folder.get()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def apart() -> Iterator[str]:
+    """A folder of their own for the tables written within; discard() removes them."""
+    folder = f"{_folder.get()}/run-{uuid.uuid4().hex}"
+    before = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(before)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes the tables of a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{folder}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """A written table with the broadcast hint if its counted rows are within the limit; else the join shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
@@ -55,6 +76,15 @@ def numbered(df: DataFrame, group: list[str], by: str, order: list[str], name: s
     return df.withColumn("row_", inner).join(starts, [*group, "slice_"]).withColumn(name, (F.col("before_") + F.col("row_")).cast("long")).drop("slice_", "row_", "before_")
 
 
+def ordered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Adds `name`, 0, 1, .. in the order of `by`. Rows are dealt by ranges; what precedes a range is added to a row's place in it."""
+    df = written(df.repartitionByRange(*by).withColumn("range_", F.spark_partition_id()), "ordered")
+    starts = df.groupBy("range_").agg(F.count(F.lit(1)).alias("n_")).select("range_", F.expr("coalesce(sum(n_) OVER (ORDER BY range_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("before_"))
+    inner = F.expr(f"row_number() OVER (PARTITION BY range_ ORDER BY {', '.join(f'`{b}`' for b in by)}) - 1")
+    placed = df.withColumn("row_", inner).join(F.broadcast(starts), "range_")  # a row a partition
+    return placed.withColumn(name, (F.col("before_") + F.col("row_")).cast("long")).drop("range_", "row_", "before_")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores, dealt to all of them: matching costs far more than moving a few small files. Larger scans, and
     what has been shuffled already, stay as they are."""

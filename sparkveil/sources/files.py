@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import ordered
+
 #: Formats by suffix, in lower case.
 FORMATS = {".txt": "text", ".md": "text", ".csv": "text", ".json": "text", ".docx": "docx", ".pdf": "pdf", ".eml": "eml"}
 REPORT = ".report.json"
@@ -42,8 +44,8 @@ def collect(spark: SparkSession, inputs: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    # paths are few next to contents: they are numbered alone and joined back
-    order = out.select("arg", "path").withColumn("doc_seq", F.expr("row_number() OVER (ORDER BY arg, path) - 1").cast("long"))
+    # paths are numbered without contents and joined back
+    order = ordered(out.select("arg", "path"), ["arg", "path"], "doc_seq")
     return out.join(order, ["arg", "path"]).select("doc_seq", "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
 
 

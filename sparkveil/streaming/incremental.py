@@ -40,7 +40,7 @@ class VaultVersions:
 
 
 def anonymize_stream(engine: Engine, units: DataFrame, versions: VaultVersions, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query over a stream of units (doc_seq, unit_seq, text); sink gets each batch's units with tokens, and its id."""
+    """Starts a query over a stream of units (doc_seq, unit_seq, text); sink gets each batch's units with tokens, and its id, and writes them before it returns."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -48,5 +48,6 @@ def anonymize_stream(engine: Engine, units: DataFrame, versions: VaultVersions,
         run = engine.anonymize(batch, "reversible", versions.before(batch_id))
         sink(run.units, batch_id)
         versions.write(batch_id, run.vault)
+        run.discard()
 
     return units.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

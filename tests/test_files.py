@@ -3,6 +3,7 @@ import io
 import re
 import zipfile
 from email.message import EmailMessage
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from sparkveil.plans import files as runs
 from sparkveil.plans.engine import Engine
 from sparkveil.sources import documents, files, pages
 from sparkveil.vault import TABLES
+from sparkveil.plans.tables import ordered, shared_folder
 from sparkveil.streaming.incremental import VaultVersions, anonymize_stream
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -162,7 +164,9 @@ def test_intake(spark):
 
 def test_archive(spark, tmp_path):
     (tmp_path / "a.txt").write_text("pán Novák, a@b.sk, c@d.sk")
+    runs_before = set(Path(shared_folder(spark).removeprefix("file://")).rglob("run-*"))
     out, findings, _ = runs.anonymize_files(spark, [str(tmp_path / "a.txt")], "irreversible")
+    assert set(Path(shared_folder(spark).removeprefix("file://")).rglob("run-*")) == runs_before  # nothing with originals is left
     runs.archive(out, findings, str(tmp_path / "o.zip"))
     z = zipfile.ZipFile(tmp_path / "o.zip")
     assert z.namelist() == ["a_anonym.txt", "protokol.txt"]
@@ -191,3 +195,10 @@ def test_model_plug_in(spark):
     assert [ner.entity_of(x) for x in ("B-PER", "LABEL_3", "I-GPE", "O", "LABEL_9")] == ["OSOBA", "ORGANIZACIA", "LOKALITA", None, None]
     text = "a b\n" * 700 + "c" * 3000
     assert "".join(c for _, c in ner.chunks(text)) == text and max(len(c) for _, c in ner.chunks(text)) <= ner.CHUNK
+
+
+def test_ordered_numbers_by_ranges(spark):
+    rows = [(k % 3, f"p{k * 7919 % 1000:04d}") for k in range(1000)]
+    got = ordered(spark.createDataFrame(rows, "arg int, path string").repartition(5), ["arg", "path"], "n").orderBy("n").collect()
+    assert [(r["arg"], r["path"], r["n"]) for r in got] == [(*r, n) for n, r in enumerate(sorted(rows))]
+    assert ordered(spark.createDataFrame([], "arg int, path string"), ["arg", "path"], "n").count() == 0
